@@ -42,17 +42,17 @@ def event_series(spark, d):
 
 
 TREE_SQL = """tags AS (
-  SELECT page_id AS doc_id, u.i AS at, found[u.i] AS tag FROM (SELECT page_id, regexp_extract_all(
+  SELECT page_id AS doc_id, u.i AS seq, found[u.i] AS tag FROM (SELECT page_id, regexp_extract_all(
     regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'),
       '(?si)<(script|style)([^>]*)>.*?</(script|style)>', '<\\1></\\1>', 'g'),
     '</?[a-zA-Z][a-zA-Z0-9]*[^>]*>') AS found FROM pages) p, UNNEST(range(1, len(found) + 1)) AS u(i)),
-typed AS (SELECT doc_id, at, lower(regexp_extract(tag, '^</?([a-zA-Z][a-zA-Z0-9]*)', 1)) AS type,
+typed AS (SELECT doc_id, seq, lower(regexp_extract(tag, '^</?([a-zA-Z][a-zA-Z0-9]*)', 1)) AS type,
     starts_with(tag, '</') AS closing, tag FROM tags),
 steps AS (SELECT *, CASE WHEN closing THEN -1 WHEN type IN
     ('area','base','br','col','embed','hr','img','input','link','meta','source','track','wbr') OR ends_with(tag, '/>')
     THEN 0 ELSE 1 END AS step FROM typed),
 walked AS (SELECT *, sum(CASE WHEN closing THEN 0 ELSE 1 END) OVER w - 1 AS node_id, sum(step) OVER w AS level FROM steps
-    WINDOW w AS (PARTITION BY doc_id ORDER BY at ROWS UNBOUNDED PRECEDING)),
+    WINDOW w AS (PARTITION BY doc_id ORDER BY seq ROWS UNBOUNDED PRECEDING)),
 nodes AS (SELECT doc_id, CAST(node_id AS BIGINT) AS node_id, type,
     CAST(level - CASE WHEN step = 1 THEN 1 ELSE 0 END AS INTEGER) AS depth FROM walked WHERE NOT closing),
 tree AS (SELECT n.doc_id, n.node_id, p.node_id AS parent_id, n.type, n.depth FROM nodes n

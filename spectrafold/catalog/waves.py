@@ -10,8 +10,8 @@ from spectrafold.sources import driver
 
 Z = """z AS (SELECT series_id, pos, (value - avg(value) OVER g) / stddev_pop(value) OVER g AS value FROM series
     WINDOW g AS (PARTITION BY series_id))"""
-HAAR = """coefs AS (SELECT series_id, l AS level, pos // CAST(2 ^ l AS BIGINT) AS pos,
-    sum(value * CASE WHEN (pos // CAST(2 ^ (l - 1) AS BIGINT)) % 2 = 0 THEN 1 ELSE -1 END) / 2 ^ (l / 2.0) AS coef
+HAAR = """coefs(series_id, level, pos, coef) AS (SELECT series_id, l AS level, pos // CAST(2 ^ l AS BIGINT) AS at_pos,
+    sum(value * CASE WHEN (pos // CAST(2 ^ (l - 1) AS BIGINT)) % 2 = 0 THEN 1 ELSE -1 END / 2 ^ (l / 2.0)) AS coef
     FROM {src}, (SELECT CAST(unnest(range(1, 7)) AS INTEGER) AS l) v GROUP BY ALL
   UNION ALL SELECT series_id, 0, 0, sum(value) / 8 FROM {src} GROUP BY 1)"""
 
@@ -72,7 +72,7 @@ def cascade_profile(spark, d):
 VOLUME = (VOLUMES, """wide AS (SELECT vol_id, CAST(l AS INTEGER) AS level, x // CAST(2 ^ l AS BIGINT) AS x, y // CAST(2 ^ l AS BIGINT) AS y, z // CAST(2 ^ l AS BIGINT) AS z, """ + ", ".join(
     "sum(v" + "".join(
         f" * (CASE WHEN ({axis} // CAST(2 ^ (l - 1) AS BIGINT)) % 2 = 0 THEN 1 ELSE -1 END)" for axis, kind in zip("xyz", band) if kind == "H"
-    ) + f") / 2 ^ (1.5 * l) AS {band}" for band in wavelet.BANDS) + """
+    ) + f" / 2 ^ (1.5 * l)) AS {band}" for band in wavelet.BANDS) + """
     FROM volume, (SELECT unnest(range(1, 4)) AS l) q GROUP BY 1, 2, 3, 4, 5),
   coefs AS (SELECT * FROM (UNPIVOT wide ON LLL, LLH, LHL, LHH, HLL, HLH, HHL, HHH INTO NAME band VALUE coef) u WHERE band <> 'LLL' OR level = 3),
   b1 AS (SELECT vol_id, level, band, sum(coef * coef) AS e, CASE WHEN count(*) < 4 OR stddev_pop(coef) < 1e-15 THEN 0 ELSE kurtosis_pop(coef) END AS kurt,
@@ -179,7 +179,7 @@ def image_profile(spark, d):
 
 @query(with_(*IMAGE, """tile AS (SELECT img_id, y // 8 AS tr, x // 8 AS tc, y % 8 AS y, x % 8 AS x, v FROM image)""",
              f"tp AS {_power('img_id, tr, tc', 8, 'tile')}",
-             """tr_ AS (SELECT img_id, tr, tc, floor(sqrt(fy * fy + fx * fx)) AS r, avg(power) AS p FROM tp GROUP BY ALL HAVING r >= 1 AND r < 4),
+             """tr_ AS (SELECT img_id, tr, tc, floor(sqrt(fy * fy + fx * fx)) AS r, avg(power) AS p FROM tp GROUP BY 1, 2, 3, 4 HAVING r >= 1 AND r < 4),
   ts AS (SELECT img_id, tr, tc, regr_slope(ln(p), ln(r)) AS slope FROM tr_ GROUP BY ALL),
   g AS (SELECT img_id, regr_slope(ln(p), ln(r)) AS gs FROM rings GROUP BY 1),
   q AS (SELECT img_id, tr, tc, abs(slope - gs) AS gap, row_number() OVER (PARTITION BY img_id ORDER BY abs(slope - gs) DESC, tr, tc) AS rn FROM ts JOIN g USING (img_id)

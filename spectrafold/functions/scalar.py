@@ -23,6 +23,12 @@ def flag(condition: Column) -> Column:
     return F.when(condition, 1.0).otherwise(0.0)
 
 
+def neighbour_ratio(a, b) -> Column:
+    """Smaller over larger of two adjacent spacings; NULL if one is missing."""
+    a, b = as_col(a), as_col(b)
+    return F.when(a.isNotNull() & b.isNotNull(), F.least(a, b) / (F.greatest(a, b) + F.lit(EPS)))
+
+
 def prime_power(p, ln_p, sigma, t) -> tuple[Column, Column]:
     """Real and imaginary part of p^-(sigma + i t)."""
     size = F.exp(-as_col(sigma) * as_col(ln_p))

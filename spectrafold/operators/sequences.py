@@ -52,7 +52,8 @@ def spacings(df: DataFrame, keys: Sequence[str], level: str, keep: Sequence[str]
         rows = rows.where(F.col("spacing") > min_spacing)
     after = F.lead("spacing").over(window)
     s = F.col("spacing")
-    return rows.withColumn("repulsion", F.least(s, after) / (F.greatest(s, after) + F.lit(EPS)))
+    ratio = F.least(s, after) / (F.greatest(s, after) + F.lit(EPS))
+    return rows.withColumn("repulsion", F.when(after.isNotNull(), ratio))
 
 
 def one_runs(df: DataFrame, keys: Sequence[str], pos: str, hit) -> DataFrame:
