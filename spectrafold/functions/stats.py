@@ -73,3 +73,11 @@ def effective_count(weight) -> Column:
 
 def sum_if(condition: Column, x) -> Column:
     return F.sum(F.when(condition, as_col(x)).otherwise(0.0))
+
+
+def pearson(x, y) -> Column:
+    """Pearson correlation; NULL where a side is constant (the built-in one fails there in ANSI mode)."""
+    x, y = as_col(x), as_col(y)
+    x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    scale = F.stddev_pop(x) * F.stddev_pop(y)
+    return F.covar_pop(x, y) / F.when(scale > 0, scale)

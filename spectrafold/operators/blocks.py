@@ -145,3 +145,10 @@ def join_stats(df: DataFrame, keys: Sequence[str], pos: str, stats: DataFrame, b
     blocks = F.explode(F.sequence(F.lit(0).cast("long"), _div("_last", block)))
     spread = stats.withColumn("_block", blocks).drop("_last")
     return df.withColumn("_block", _div(pos, block)).join(spread, [*keys, "_block"]).drop("_block")
+
+
+def consecutive_pairs(df: DataFrame, keys: Sequence[str], id_: str, limit: int = GROUP_LIMIT) -> DataFrame:
+    """(keys, a, b): every id with its successor inside the group, a list of pairs that grows linearly."""
+    rows = dense_index(df.select(*keys, F.col(id_).alias("a")), keys, ["a"], "_i", limit)
+    paired = halo_window(rows, keys, "_i", lambda w: {"b": F.lead("a").over(w)}, before=0)
+    return paired.where("b IS NOT NULL").select(*keys, "a", "b")

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from spectrafold.functions import stats
 from spectrafold.operators.blocks import GROUP_LIMIT, dense_index, largest_group, running_sum
 
 
@@ -44,7 +45,7 @@ def guarded_corr(x: str | Column, y: str | Column, floor: float = 1e-10) -> Colu
     """Pearson correlation, 0 where either side is (almost) constant."""
     x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
     flat = (F.stddev_pop(x) <= floor) | (F.stddev_pop(y) <= floor)
-    return F.when(flat, 0.0).otherwise(F.coalesce(F.nanvl(F.corr(x, y), F.lit(0.0)), F.lit(0.0)))
+    return F.when(flat, 0.0).otherwise(F.coalesce(F.nanvl(stats.pearson(x, y), F.lit(0.0)), F.lit(0.0)))
 
 
 def quantiles(

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from spectrafold.functions import stats
 from spectrafold.functions.fixed import EPS
 from spectrafold.functions.scalar import wrapped
 from spectrafold.operators.blocks import halo_window, running_sum
@@ -34,7 +35,7 @@ def lag_features(df: DataFrame, keys: Sequence[str], pos: str, value: str) -> Da
     table = rows.groupBy(*keys).agg(
         F.avg(v).alias("_m"), F.var_pop(v).alias("_var"), F.count(v).alias("_n"), F.covar_pop(v, after).alias("_cov"),
         F.avg(F.when(after.isNotNull(), v)).alias("_a"), F.avg(after).alias("_b"), F.count(after).alias("_pairs"),
-        F.corr(v, after).alias("lag_corr"), F.sqrt(F.avg((after - v) ** 2)).alias("roughness"),
+        stats.pearson(v, after).alias("lag_corr"), F.sqrt(F.avg((after - v) ** 2)).alias("roughness"),
         F.avg(F.abs(gradient)).alias("gradient"),
     )
     cross = F.col("_pairs") * (F.col("_cov") + (F.col("_a") - F.col("_m")) * (F.col("_b") - F.col("_m")))
