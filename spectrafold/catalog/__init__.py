@@ -6,7 +6,7 @@ import importlib
 
 from spectrafold.catalog.registry import REGISTRY
 
-MODULES = ("tables", "scalars", "aggregates", "windows", "waves", "levels", "number_theory")
+MODULES = ("tables", "scalars", "aggregates", "windows", "waves", "levels", "number_theory", "channels", "graphs")
 
 for _module in MODULES:
     importlib.import_module(f"spectrafold.catalog.{_module}")

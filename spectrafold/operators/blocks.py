@@ -152,3 +152,14 @@ def consecutive_pairs(df: DataFrame, keys: Sequence[str], id_: str, limit: int =
     rows = dense_index(df.select(*keys, F.col(id_).alias("a")), keys, ["a"], "_i", limit)
     paired = halo_window(rows, keys, "_i", lambda w: {"b": F.lead("a").over(w)}, before=0)
     return paired.where("b IS NOT NULL").select(*keys, "a", "b")
+
+
+def join_spread(df: DataFrame, keys: Sequence[str], stats: DataFrame, spread_by: str | Column, salts: int = 64) -> DataFrame:
+    """Attach one row per group like join_stats, for rows without a position.
+
+    Rows get a salt from a hash of ``spread_by`` and the statistics are repeated per salt,
+    so a group that holds most rows is met in ``salts`` parts.
+    """
+    salt = F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int")
+    repeated = stats.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return df.withColumn("_salt", salt).join(repeated, [*keys, "_salt"]).drop("_salt")
