@@ -71,8 +71,8 @@ VIB = (SERIES, DFT, "sp AS (SELECT series_id, bin, CAST(bin AS DOUBLE) AS freq,
   s2 AS (SELECT series_id, sum((freq - centroid_Hz) ^ 2 * amp * amp) / any_value(e) AS var FROM sp JOIN st USING (series_id) GROUP BY 1),
   pj AS (SELECT pk.g, pk.pos, pk.v, rot, abs(pk.pos - round_even(pk.pos / rot, 0) * rot) < 0.05 * rot AS sync, row_number() OVER (PARTITION BY pk.g ORDER BY pk.v DESC, pk.pos DESC) AS rn, count(*) OVER (PARTITION BY pk.g) AS np FROM pk JOIN meta ON series_id = pk.g),
   pc AS (SELECT g, count(*) AS np, sum(CASE WHEN sync THEN 1.0 ELSE 0 END) AS sy, sum(CASE WHEN sync THEN 0 ELSE 1.0 END) AS ns, sum(CASE WHEN sync THEN 0 ELSE v * v END) AS ne FROM pj GROUP BY 1),
-  sb0 AS (SELECT g, rn, s, v, trunc(pos + s * rot) AS at FROM pj, (SELECT unnest([-1, 1]) AS s) x WHERE rn <= 5 AND np > 1),
-  sb1 AS (SELECT g, rn, s, any_value(v) AS v, max(amp) AS a FROM sb0 JOIN sp ON series_id = g AND abs(bin - at) <= 3 WHERE at > 0 AND at < 32 GROUP BY 1, 2, 3),
+  sb0 AS (SELECT g, rn, s, v, trunc(pos + s * rot) AS loc FROM pj, (SELECT unnest([-1, 1]) AS s) x WHERE rn <= 5 AND np > 1),
+  sb1 AS (SELECT g, rn, s, any_value(v) AS v, max(amp) AS a FROM sb0 JOIN sp ON series_id = g AND abs(bin - loc) <= 3 WHERE loc > 0 AND loc < 32 GROUP BY 1, 2, 3),
   sb AS (SELECT g, sum(CASE WHEN a > 0.3 * v THEN 1.0 ELSE 0 END) AS sb FROM sb1 GROUP BY 1),
   hd AS (SELECT series_id, regr_slope(ln(a + 1e-15), ln(i)) AS sl, count(*) AS c FROM (SELECT series_id, unnest(list_filter([a1, a2, a3, a4, a5], lambda x: x > 1e-10)) AS a, unnest(range(1, len(list_filter([a1, a2, a3, a4, a5], lambda x: x > 1e-10)) + 1)) AS i FROM st) q GROUP BY 1),
   f AS (SELECT series_id, a1 AS A_1x, a2 AS A_2x, a3 AS A_3x, ah AS A_half, a4 + a5 AS A_45x, CASE WHEN c > 2 THEN sl ELSE -2 END AS harm_decay, coalesce(sy, 0) AS sync_peaks, coalesce(ns, 0) AS nonsync_peaks, coalesce(sb, 0) AS sidebands, coalesce(ne, 0) AS nonsync_E,
