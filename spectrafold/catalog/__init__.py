@@ -6,7 +6,9 @@ import importlib
 
 from spectrafold.catalog.registry import REGISTRY
 
-MODULES = ("tables", "scalars", "aggregates", "windows", "waves", "levels", "number_theory", "channels", "graphs")
+MODULES = (
+    "tables", "scalars", "aggregates", "windows", "waves", "levels", "number_theory", "channels", "graphs", "trees", "validation", "streams",
+)
 
 for _module in MODULES:
     importlib.import_module(f"spectrafold.catalog.{_module}")

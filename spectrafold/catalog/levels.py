@@ -7,6 +7,7 @@ from spectrafold.catalog.sqlpeaks import peaks_sql
 from spectrafold.catalog.sqltext import SERIES, SPECTRA41, with_
 from spectrafold.functions.fixed import OBSERVER_X, OBSERVER_Y, OBSERVER_Z
 from spectrafold.operators import peaks, sequences
+from spectrafold.operators.blocks import consecutive_pairs
 from spectrafold.plans import colour, dispersion, levels
 from spectrafold.sources import driver, tables as t
 
@@ -158,9 +159,11 @@ def color_profile(spark, d):
     return colour.color_profile(driver.spectra41(spark, d), colour.observer_table(spark))
 
 
-@query(with_(*COLOUR, recursive=True) + "SELECT * FROM (SELECT p.series_id AS a, q.series_id AS b, sqrt((p.X - q.X) ^ 2 + (p.Y - q.Y) ^ 2 + (p.Z - q.Z) ^ 2) AS xyz_distance, sqrt(" + " + ".join(
-    f'(p."{c}" - q."{c}") ^ 2' for c in colour.FEATURES) + ") AS feature_distance FROM f p JOIN f q ON p.series_id < q.series_id) z WHERE xyz_distance < 0.5",
-       "xyz_distance feature_distance")
-def metamer_pairs(spark, d):
+@query(with_(*COLOUR, "nxt AS (SELECT vec_id AS a, lead(vec_id) OVER (PARTITION BY label ORDER BY vec_id) AS b FROM embeddings)", recursive=True) +
+       "SELECT nxt.a, nxt.b, sqrt((p.X - q.X) ^ 2 + (p.Y - q.Y) ^ 2 + (p.Z - q.Z) ^ 2) AS xyz_distance, sqrt(" + " + ".join(f'(p."{c}" - q."{c}") ^ 2' for c in colour.FEATURES) +
+       ") AS feature_distance FROM nxt JOIN f p ON p.series_id = nxt.a JOIN f q ON q.series_id = nxt.b", "xyz_distance feature_distance")
+def metamer_comparison(spark, d):
+    """Each spectrum against the next one of its label."""
     profile = colour.color_profile(driver.spectra41(spark, d), colour.observer_table(spark))
-    return colour.metamer_pairs(profile, 0.5)
+    pairs = consecutive_pairs(t.table(spark, d, "embeddings").select("label", "vec_id"), ["label"], "vec_id")
+    return colour.metamer_comparison(profile, pairs)

@@ -232,13 +232,13 @@ def curve_audit(spark, d):
     return curves.curve_audit(_curves(spark, d)).drop("reason")
 
 
-WEIGHTS = "weights AS (SELECT CAST(label AS VARCHAR) AS run_id, CAST(pos + 1 AS INTEGER) AS k, avg(value) AS theta FROM series WHERE pos < 30 GROUP BY 1, 2)"
+WEIGHTS = "weights AS (SELECT CAST(label AS VARCHAR) AS run_id, CAST(pos % 30 + 1 AS INTEGER) AS k, avg(value) AS theta FROM series GROUP BY 1, 2)"
 ZEROS = "zeros AS (SELECT unnest([" + ", ".join(f"{z!r}::DOUBLE" for z in ZETA_ZEROS) + "]) AS t)"
 
 
 def _weights(spark, d):
-    series = driver.embedding_series(spark, d).where("pos < 30")
-    return series.groupBy(F.col("label").cast("string").alias("run_id"), (F.col("pos") + 1).cast("int").alias("k")).agg(F.avg("value").alias("theta"))
+    series = driver.embedding_series(spark, d)
+    return series.groupBy(F.col("label").cast("string").alias("run_id"), (F.col("pos") % 30 + 1).cast("int").alias("k")).agg(F.avg("value").alias("theta"))
 
 
 @query(with_(SERIES, primes(1500), WEIGHTS, ZEROS, """sg AS (SELECT unnest([0.4::DOUBLE, 0.5::DOUBLE, 0.75::DOUBLE, 1.0::DOUBLE]) AS sigma),

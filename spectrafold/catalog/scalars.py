@@ -113,10 +113,10 @@ def min_max_scaled(spark, d):
 @query(with_(SERIES) + """SELECT series_id, pos, CASE WHEN std > 1e-15 THEN (value - mean) / std ELSE value - mean END AS z,
   value / peak AS scaled FROM series
   JOIN (SELECT series_id, avg(value) AS mean, stddev_pop(value) AS std, max(abs(value)) AS peak FROM series GROUP BY 1) USING (series_id)
-  WHERE label < 3""", "z scaled")
+  """, "z scaled")
 def normalised_series(spark, d):
     """Z-normalised and max-abs scaled values of whole series."""
-    series = driver.embedding_series(spark, d).where("label < 3")
+    series = driver.embedding_series(spark, d)
     stats = series.groupBy("series_id").agg(
         F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.max(F.abs("value")).alias("peak")
     )

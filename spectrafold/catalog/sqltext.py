@@ -11,7 +11,7 @@ VOLUMES = SERIES + """, volume AS (
   SELECT series_id // 8 AS vol_id, series_id % 8 AS x, pos // 8 AS y, pos % 8 AS z, value AS v FROM series)"""
 
 SPECTRA41 = SERIES + """, spectrum AS (
-  SELECT series_id, pos AS idx, 380.0::DOUBLE + 10 * pos AS nm, abs(value) AS amp FROM series WHERE pos < 41)"""
+  SELECT series_id, pos * 41 // 64 AS idx, 380.0::DOUBLE + 10 * (pos * 41 // 64) AS nm, avg(abs(value)) AS amp FROM series GROUP BY 1, 2, 3)"""
 
 EVENTS = """series AS (
   SELECT user_id AS series_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, value
@@ -28,12 +28,13 @@ SUPPLY = """edges AS (
     SELECT l_returnflag, l_partkey AS src, -l_suppkey - 1 AS dst FROM lineitem
     UNION ALL SELECT l_returnflag, -l_suppkey - 1, l_partkey FROM lineitem) s)"""
 
-TRADE = """edges AS (
-  SELECT DISTINCT g AS graph_id, src, dst FROM (
-    SELECT o_orderpriority AS g, c_nationkey AS a, s_nationkey AS b FROM lineitem
-    JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
-    WHERE l_quantity >= 50 AND l_discount >= 0.09) t, LATERAL (SELECT a AS src, b AS dst UNION ALL SELECT b, a) e
-  WHERE a <> b)"""
+TRADE = """trade AS (
+  SELECT o_orderpriority AS g, c_nationkey AS a, s_nationkey AS b, sum(l_extendedprice) AS value FROM lineitem
+  JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2, 3),
+edges AS (
+  SELECT DISTINCT g AS graph_id, src, dst FROM (SELECT *, avg(value) OVER (PARTITION BY g) AS mean FROM trade) t,
+    LATERAL (SELECT a AS src, b AS dst UNION ALL SELECT b, a) e
+  WHERE a <> b AND value > 1.15 * mean)"""
 
 RATIONALS = """rationals AS (
   SELECT o_orderkey AS seq_id, CAST(round(o_totalprice * 100) AS BIGINT) AS num, o_custkey * 9973 + o_orderkey + 1 AS den

@@ -3,15 +3,18 @@
 from pyspark.sql import functions as F
 
 from spectrafold.catalog.registry import query
-from spectrafold.catalog.sqltext import EVENTS, IMAGES, SPARAM, SUPPLY, primes, with_
+from spectrafold.catalog.sqltext import EVENTS, IMAGES, SPARAM, SUPPLY, with_
 from spectrafold.sources import driver, tables as t, touchstone
 
 
-@query(with_(primes(20000)) + "SELECT p_partkey, k, ln_p, p_retailprice FROM part JOIN primes ON p_partkey = p",
-       "ln_p p_retailprice")
+@query("""WITH primes AS (SELECT CAST(row_number() OVER (ORDER BY p) AS INTEGER) AS k, p, ln(p) AS ln_p FROM (SELECT unnest(range(2, (SELECT max(p_partkey) + 1 FROM part))) AS p) n
+    WHERE NOT EXISTS (SELECT 1 FROM (SELECT unnest(range(2, (SELECT CAST(sqrt(max(p_partkey)) AS BIGINT) + 2 FROM part))) AS d) v WHERE d * d <= p AND p % d = 0))
+  SELECT p_partkey, k, ln_p, p_retailprice FROM part JOIN primes ON p_partkey = p""", "ln_p p_retailprice")
 def prime_part_keys(spark, d):
+    """Parts with a prime key and the rank of that prime; the sieve grows with the largest key."""
     part = t.table(spark, d, "part").select("p_partkey", "p_retailprice")
-    return part.join(F.broadcast(t.prime_table(spark, 20_000)), F.col("p_partkey") == F.col("p")).drop("p")
+    largest = part.agg(F.max("p_partkey")).first()[0]
+    return part.join(t.prime_table(spark, largest), F.col("p_partkey") == F.col("p")).drop("p")
 
 
 @query(with_(SUPPLY) + """SELECT graph_id, degree, count(*) AS n_nodes FROM (

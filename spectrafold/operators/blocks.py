@@ -57,39 +57,43 @@ def running_sum(
     sums: dict[str, str],
     block: int = BLOCK,
     bounded: bool = False,
+    largest: bool = False,
 ) -> DataFrame:
-    """Inclusive running sums ``{new: source}`` along ``pos``.
+    """Inclusive running sums ``{new: source}`` along ``pos`` (running maxima with ``largest``).
 
     With ``bounded`` the caller states that an object's length is limited by
     construction (an array held in one row, a fixed grid), and a plain window is used.
     """
+    fold = F.max if largest else F.sum
+    start = F.lit(None) if largest else F.lit(0)
+    plus = (lambda a, b: F.greatest(a, b)) if largest else (lambda a, b: a + b)
     if bounded:
         window = W.partitionBy(*keys).orderBy(pos).rowsBetween(W.unboundedPreceding, 0)
-        return df.select("*", *[F.sum(src).over(window).alias(new) for new, src in sums.items()])
+        return df.select("*", *[fold(src).over(window).alias(new) for new, src in sums.items()])
     keys = list(keys)
     earlier = (W.unboundedPreceding, -1)
     rows = df.withColumn("_block", _div(pos, block))
     totals = (
         rows.groupBy(*keys, "_block")
-        .agg(*[F.sum(src).alias(f"_t_{new}") for new, src in sums.items()])
+        .agg(*[fold(src).alias(f"_t_{new}") for new, src in sums.items()])
         .withColumn("_super", _div("_block", block))
     )
-    coarse = totals.groupBy(*keys, "_super").agg(*[F.sum(f"_t_{new}").alias(f"_u_{new}") for new in sums])
+    coarse = totals.groupBy(*keys, "_super").agg(*[fold(f"_t_{new}").alias(f"_u_{new}") for new in sums])
     over_super = W.partitionBy(*keys).orderBy("_super").rowsBetween(*earlier)
     coarse = coarse.select(
-        *keys, "_super", *[F.coalesce(F.sum(f"_u_{n}").over(over_super), F.lit(0)).alias(f"_v_{n}") for n in sums]
+        *keys, "_super", *[F.coalesce(fold(f"_u_{n}").over(over_super), start).alias(f"_v_{n}") for n in sums]
     )
     over_block = W.partitionBy(*keys, "_super").orderBy("_block").rowsBetween(*earlier)
     offsets = totals.join(coarse, [*keys, "_super"]).select(
         *keys,
         "_block",
-        *[(F.coalesce(F.sum(f"_t_{n}").over(over_block), F.lit(0)) + F.col(f"_v_{n}")).alias(f"_o_{n}") for n in sums],
+        *[plus(F.coalesce(fold(f"_t_{n}").over(over_block), start), F.col(f"_v_{n}")).alias(f"_o_{n}") for n in sums],
     )
     inside = W.partitionBy(*keys, "_block").orderBy(pos).rowsBetween(W.unboundedPreceding, 0)
-    summed = rows.select("*", *[F.sum(src).over(inside).alias(f"_i_{new}") for new, src in sums.items()])
+    summed = rows.select("*", *[fold(src).over(inside).alias(f"_i_{new}") for new, src in sums.items()])
     joined = summed.join(offsets, [*keys, "_block"])
     for new in sums:
-        joined = joined.withColumn(new, F.col(f"_i_{new}") + F.col(f"_o_{new}"))
+        joined = joined.withColumn(new, plus(F.col(f"_i_{new}"), F.col(f"_o_{new}")))
     return joined.drop("_block", *[f"_i_{n}" for n in sums], *[f"_o_{n}" for n in sums])
 
 

@@ -83,23 +83,10 @@ def peak_features(spectrum: DataFrame) -> DataFrame:
     )
 
 
-def metamer_pairs(profile: DataFrame, tile: float) -> DataFrame:
-    """Pairs a < b whose (X, Y, Z) differ by less than ``tile``, with both distances.
-
-    Colours are put in cubes of side ``tile``; each is compared with its own and the
-    neighbouring cubes only, which finds every such pair once.
-    """
-    base = profile.select(
-        F.col("series_id").alias("id"), F.array("X", "Y", "Z").alias("xyz"), F.array(*FEATURES).alias("f"),
-        *[F.floor(F.col(a) / tile).alias(f"_{a}") for a in "XYZ"],
-    )
-    shifts = F.expr("flatten(transform(sequence(-1, 1), i -> flatten(transform(sequence(-1, 1), j -> transform(sequence(-1, 1), k -> struct(i, j, k))))))")
-    moved = base.withColumn("_m", F.explode(shifts)).select(
-        F.col("id").alias("b"), F.col("xyz").alias("xyz_b"), F.col("f").alias("f_b"),
-        (F.col("_X") + F.col("_m.i")).alias("_X"), (F.col("_Y") + F.col("_m.j")).alias("_Y"), (F.col("_Z") + F.col("_m.k")).alias("_Z"),
-    )
-    pairs = base.withColumnRenamed("id", "a").join(moved, ["_X", "_Y", "_Z"]).where("a < b")
+def metamer_comparison(profile: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, xyz_distance, feature_distance) of requested pairs of objects."""
+    base = profile.select("series_id", F.array("X", "Y", "Z").alias("xyz"), F.array(*FEATURES).alias("f"))
+    rows = pairs.select("a", "b").join(base.select(F.col("series_id").alias("a"), F.col("xyz").alias("x1"), F.col("f").alias("f1")), "a")
+    rows = rows.join(base.select(F.col("series_id").alias("b"), F.col("xyz").alias("x2"), F.col("f").alias("f2")), "b")
     gap = lambda x, y: F.sqrt(F.aggregate(F.zip_with(x, y, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda t, v: t + v))
-    return pairs.select("a", "b", gap("xyz", "xyz_b").alias("xyz_distance"), gap("f", "f_b").alias("feature_distance")).where(
-        F.col("xyz_distance") < tile
-    )
+    return rows.select("a", "b", gap("x1", "x2").alias("xyz_distance"), gap("f1", "f2").alias("feature_distance"))
