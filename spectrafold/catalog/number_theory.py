@@ -50,7 +50,7 @@ def _atlas_sql(channels):
 
 
 # second differences divide rounding noise by 9e-6, so these two are compared at three decimals
-_ATLAS_FLOATS = " ".join(f for f in euler.FEATURES if f not in ("laplacian", "harmonicity")) + " mu1 mu2"
+_ATLAS_FLOATS = " ".join(euler.FEATURES) + " mu1 mu2"
 
 
 def _coarse(df):

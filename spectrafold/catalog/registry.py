@@ -15,11 +15,15 @@ class Query:
     sql: str | None
 
 
+# moves exact decimal ties off the rounding edge, where the last bit of a sum would decide
+NUDGE = 1.000000000001
+
 REGISTRY: dict[str, Query] = {}
 
 
 def rounded(value: Column) -> Column:
     """Six decimals, fewer for large magnitudes, and no negative zero."""
+    value = value * F.lit(NUDGE)
     size = F.abs(value)
     return (
         F.when(size < 1e3, F.round(value, 6)).when(size < 1e7, F.round(value, 2)).otherwise(F.round(value, 0)) + F.lit(0.0)
@@ -27,9 +31,10 @@ def rounded(value: Column) -> Column:
 
 
 def rounded_sql(name: str) -> str:
+    value = f'("{name}" * {NUDGE!r}::DOUBLE)'
     return (
-        f'CASE WHEN abs("{name}") < 1e3 THEN round("{name}", 6) WHEN abs("{name}") < 1e7 THEN round("{name}", 2) '
-        f'ELSE round("{name}", 0) END + 0.0 AS "{name}"'
+        f"CASE WHEN abs({value}) < 1e3 THEN round({value}, 6) WHEN abs({value}) < 1e7 THEN round({value}, 2) "
+        f'ELSE round({value}, 0) END + 0.0 AS "{name}"'
     )
 
 

@@ -127,7 +127,7 @@ def normalised_series(spark, d):
     )
 
 
-@query("""SELECT event_id, abs(value - round_even(value / 7, 0) * 7) < 0.35 AS near_multiple,
+@query("""SELECT event_id, abs(value - round_even(value / 7, 0) * 7) < 7 * 0.05::DOUBLE AS near_multiple,
   CASE WHEN value > 50 THEN 'HIGH' WHEN value > 20 THEN 'MEDIUM' ELSE 'LOW' END AS severity,
   CASE WHEN value > 50 THEN printf('value %.2f above 50', value) WHEN value > 20 THEN printf('value %.2f above 20', value)
     ELSE 'within range' END AS reason, least(value, 60.0) AS capped FROM events WHERE value IS NOT NULL""", "capped")

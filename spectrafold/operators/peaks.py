@@ -124,26 +124,19 @@ def prominences(
     for level, blocks in enumerate(arrays):
         state = state.withColumn("_blk", F.expr(f"_p div {FAN ** (level + 1)}")).join(blocks, [*keys, "_blk"], "left")
         node = F.expr(f"_p div {FAN ** level}")
-        for side in "lr":
-            open_ = F.col(f"_stop_{side}").isNull()
-            stop, low = _search(side, _beside(side, node))
-            state = state.withColumns({
-                f"_new_{side}": F.when(open_, stop),
-                f"_low_{side}": F.when(open_, F.least(F.col(f"_low_{side}"), low)).otherwise(F.col(f"_low_{side}")),
-            }).withColumns({
-                f"_at_{side}": F.when(F.col(f"_new_{side}").isNotNull(), F.lit(level)).otherwise(F.col(f"_at_{side}")),
-                f"_stop_{side}": F.coalesce(f"_stop_{side}", f"_new_{side}"),
-            }).drop(f"_new_{side}")
+        state = state.withColumns({f"_found_{side}": _search(side, _beside(side, node)) for side in "lr"})
+        state = state.withColumns({
+            name: column
+            for side in "lr"
+            for name, column in _updated(side, F.col(f"_stop_{side}").isNull(), F.lit(level)).items()
+        }).drop("_found_l", "_found_r")
         state = state.drop("_children", "_blk")
     for level in range(levels - 1, 0, -1):
         for side in "lr":
             here = F.col(f"_at_{side}") >= level
             state = state.withColumn("_blk", F.when(here, F.col(f"_stop_{side}"))).join(arrays[level - 1], [*keys, "_blk"], "left")
-            stop, low = _search(side, lambda c: F.lit(True))
-            state = state.withColumns({
-                f"_low_{side}": F.when(here, F.least(F.col(f"_low_{side}"), low)).otherwise(F.col(f"_low_{side}")),
-                f"_stop_{side}": F.when(here, stop).otherwise(F.col(f"_stop_{side}")),
-            }).drop("_children", "_blk")
+            state = state.withColumn(f"_found_{side}", _search(side, lambda c: F.lit(True)))
+            state = state.withColumns(_updated(side, here, F.lit(level))).drop("_children", "_blk", f"_found_{side}")
     result = F.col("_v") - F.greatest("_low_l", "_low_r")
     return state.select(*peaks.columns, result.alias(to))
 
@@ -152,14 +145,33 @@ def _beside(side: str, node: Column):
     return (lambda c: c["_idx"] < node) if side == "l" else (lambda c: c["_idx"] > node)
 
 
-def _search(side: str, inside) -> tuple[Column, Column]:
-    """Nearest child above the peak on one side, and the minimum of the children passed on the way."""
-    nearer = (lambda c, s: c["_idx"] > s) if side == "l" else (lambda c, s: c["_idx"] < s)
-    pick = F.array_max if side == "l" else F.array_min
-    own = F.filter("_children", inside)
-    stop = pick(F.transform(F.filter(own, lambda c: c["_mx"] > F.col("_v")), lambda c: c["_idx"]))
-    passed = F.filter(own, lambda c: F.coalesce(nearer(c, stop), F.lit(True)))
-    return stop, F.coalesce(F.array_min(F.transform(passed, lambda c: c["_mn"])), F.col("_v"))
+def _search(side: str, inside) -> Column:
+    """STRUCT<stop, low>: index of the nearest child above the peak on one side, and the minimum up to it.
+
+    The index is bound as a lambda variable, so it is worked out once per row and not once per child.
+    """
+    above = F.filter("_children", lambda c: inside(c) & (c["_mx"] > F.col("_v")))
+    stop = (F.array_max if side == "l" else F.array_min)(F.transform(above, lambda c: c["_idx"]))
+
+    def with_minimum(s):
+        between = (lambda c: c["_idx"] > s) if side == "l" else (lambda c: c["_idx"] < s)
+        passed = F.filter("_children", lambda c: inside(c) & F.coalesce(between(c), F.lit(True)))
+        low = F.coalesce(F.array_min(F.transform(passed, lambda c: c["_mn"])), F.col("_v"))
+        return F.struct(s.alias("stop"), low.alias("low"))
+
+    return F.get(F.transform(F.array(stop), with_minimum), F.lit(0))
+
+
+def _updated(side: str, active: Column, level: Column) -> dict[str, Column]:
+    """State columns of one side after a search that applies where ``active``."""
+    found = F.col(f"_found_{side}")
+    low, stop, at = (F.col(f"_{n}_{side}") for n in ("low", "stop", "at"))
+    hit = active & found["stop"].isNotNull()
+    return {
+        f"_low_{side}": F.when(active, F.least(low, found["low"])).otherwise(low),
+        f"_stop_{side}": F.when(hit, found["stop"]).otherwise(stop),
+        f"_at_{side}": F.when(hit & at.isNull(), level).otherwise(at),
+    }
 
 
 def find_peaks(
