@@ -19,7 +19,7 @@ def expand_rationals(rationals: DataFrame, max_terms: int = 51) -> DataFrame:
     def step(state, _):
         d = F.when(state["d"] != 0, state["d"])
         rest = F.pmod(state["n"], d)
-        whole = F.call_function("div", state["n"], d)
+        whole = F.call_function("div", state["n"] - rest, d)
         q = whole * state["q1"] + state["q0"]
         more = F.concat(state["terms"], F.array(F.struct(whole.alias("a"), q.alias("q"))))
         return F.when(
