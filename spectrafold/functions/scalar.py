@@ -128,14 +128,15 @@ def order_ratio(p) -> Column:
 
 
 def gcd(a, b) -> Column:
-    """Euclid on BIGINTs; 90 steps are enough for 64 bits."""
-    start = F.struct(as_col(a).cast("long").alias("a"), as_col(b).cast("long").alias("b"))
+    """Euclid on BIGINTs; the number of steps follows from the smaller number (at most 4.8 per decimal digit)."""
+    a, b = as_col(a).cast("long"), as_col(b).cast("long")
+    start = F.struct(a.alias("a"), b.alias("b"))
+    digits = F.log10(F.least(F.abs(a), F.abs(b)).cast("double") + 1)
     return F.aggregate(
-        F.sequence(F.lit(1), F.lit(90)),
+        F.sequence(F.lit(1), (F.ceil(4.8 * digits) + 2).cast("int")),
         start,
-        lambda s, _: F.struct(
-            F.when(s["b"] == 0, s["a"]).otherwise(s["b"]).alias("a"),
-            F.when(s["b"] == 0, s["b"]).otherwise(s["a"] % F.when(s["b"] != 0, s["b"])).alias("b"),
+        lambda s, _: F.when(s["b"] == 0, s).otherwise(
+            F.struct(s["b"].alias("a"), (s["a"] % F.when(s["b"] != 0, s["b"])).alias("b"))
         ),
         lambda s: F.abs(s["a"]),
     )
