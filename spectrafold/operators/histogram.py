@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from spectrafold.operators.blocks import join_spread
+
 
 def histogram(df: DataFrame, keys: Sequence[str], value: str, bins: int) -> DataFrame:
     """Counts and density of non-empty bins over the data range of each group; the right edge is closed.
@@ -22,7 +24,7 @@ def histogram(df: DataFrame, keys: Sequence[str], value: str, bins: int) -> Data
         F.when(flat, F.lit(1.0)).otherwise(F.col("_hi") - F.col("_lo")).alias("_span"),
     )
     at = F.least(F.floor((F.col(value) - F.col("_lo")) / F.col("_span") * bins), F.lit(bins - 1)).cast("long")
-    rows = df.select(*keys, value).where(F.col(value).isNotNull()).join(limits, list(keys))
+    rows = join_spread(df.select(*keys, value).where(F.col(value).isNotNull()), keys, limits, value)
     return (
         rows.groupBy(*keys, at.alias("bin"))
         .agg(F.count("*").alias("n"), F.first("_total").alias("_total"), F.first("_span").alias("_span"))

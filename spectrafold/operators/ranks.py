@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from spectrafold.functions import stats
-from spectrafold.operators.blocks import GROUP_LIMIT, dense_index, largest_group, running_sum
+from spectrafold.operators.blocks import GROUP_LIMIT, dense_index, join_spread, largest_group, running_sum
 
 
 def tied_rank(keys: Sequence[str], value: str | Column) -> Column:
@@ -52,13 +52,15 @@ def quantiles(
     df: DataFrame, keys: Sequence[str], value: str, qs: dict[str, float], limit: int = GROUP_LIMIT, bounded: bool = False
 ) -> DataFrame:
     """Exact, linearly interpolated quantiles ``{name: q}`` per group."""
+    if not keys:
+        return quantiles(df.withColumn("_one", F.lit(0)), ["_one"], value, qs, limit, bounded).drop("_one")
     rows = df.select(*keys, value).where(F.col(value).isNotNull())
     counts = rows.groupBy(*keys, value).agg(F.count("*").alias("_n"))
     if bounded or largest_group(counts, keys) <= limit:
         return rows.groupBy(*keys).agg(*[F.percentile(value, q).alias(n) for n, q in qs.items()])
     ranked = running_sum(dense_index(counts, keys, [value], "_i", limit), keys, "_i", {"_upto": "_n"})
     size = ranked.groupBy(*keys).agg(F.max("_upto").alias("_size"))
-    placed = ranked.join(size, list(keys)) if keys else ranked.join(F.broadcast(size))
+    placed = join_spread(ranked, keys, size, value)
     columns = []
     for name, q in qs.items():
         at = (F.col("_size") - 1) * F.lit(q)

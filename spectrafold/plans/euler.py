@@ -197,10 +197,10 @@ def valley_scan(grid: DataFrame, lfunc: str = "zeta", terms: int = 80, limit: in
     if lfunc != "zeta":
         raise NotImplementedError("the scan is defined for zeta only")
     values = eta_scan(grid, terms).withColumn("_all", F.lit(0))
-    threshold = quantiles(values, [], "eta", {"_q": 0.1}, limit)
+    threshold = quantiles(values, ["_all"], "eta", {"_q": 0.1}, limit)
     rows = halo_window(values, ["_all"], "pos", lambda w: {"_a": F.lag("eta").over(w), "_b": F.lead("eta").over(w)}, block=8192)
     low = rows.where((F.col("eta") < F.col("_a")) & (F.col("eta") < F.col("_b")))
-    return low.join(F.broadcast(threshold), F.col("eta") < F.col("_q")).select("pos", "t", "eta")
+    return low.join(F.broadcast(threshold), "_all").where("eta < _q").select("pos", "t", "eta")
 
 
 def _borwein_weights(n: int) -> list[float]:
@@ -244,8 +244,8 @@ def weighted_residual(weights: DataFrame, primes: DataFrame, targets: DataFrame)
     Targets (a fixed short list) are broadcast; runs times primes are summed with partial aggregation.
     """
     terms = weights.join(F.broadcast(primes), "k")
-    listed = targets.select(F.collect_list(F.struct("sigma", "t")).alias("_targets"))
-    terms = terms.join(F.broadcast(listed)).withColumn("_t", F.explode("_targets")).select("run_id", "theta", "p", "ln_p", "_t.sigma", "_t.t")
+    listed = targets.groupBy(F.lit(0).alias("_one")).agg(F.collect_list(F.struct("sigma", "t")).alias("_targets"))
+    terms = terms.withColumn("_one", F.lit(0)).join(F.broadcast(listed), "_one").withColumn("_t", F.explode("_targets")).select("run_id", "theta", "p", "ln_p", "_t.sigma", "_t.t")
     re, im = prime_power("p", "ln_p", "sigma", "t")
     dr, di = log_derivative(re, im, "ln_p")
     sums = terms.groupBy("run_id", "sigma", "t").agg(F.sum(F.col("theta") * dr).alias("a"), F.sum(F.col("theta") * di).alias("b"))
