@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -12,7 +13,9 @@ WORD_CLASS = r"[^\x20\x09-\x0D]+"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """A table of the given folder, read by Spark."""
+    """A table of the given folder, read by Spark. Python workers find this package where the driver has it,
+    unless it was handed to them in another way."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

@@ -4,8 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from spectrafold.llm import mixing, secret_scan
-from spectrafold.llm.common import Scratch, read
+from spectrafold.llm import bpe, language, mixing, quality, secret_scan, sketches
+from spectrafold.llm.common import Scratch, crc_fold, held_out, read
+
+TOKENIZERS = "/opt/tokenizers"
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = language.fit(docs.where(crc_fold() != 2).select("text", "lang"))
+    return language.predict(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op4_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels.where(crc_fold() != 2))
+    return quality.score(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+def op5_document_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.compare_with_edits(read(spark, sf_dir, "documents"))
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +32,10 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(sized, F.col("size")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_bpe_round_trip(spark: SparkSession, sf_dir: str, tokenizer: str = f"{TOKENIZERS}/byte_bpe_50k.json") -> DataFrame:
+    return bpe.encode_documents(read(spark, sf_dir, "documents"), tokenizer)
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.find_secrets(read(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.col("base_spans")
@@ -22,5 +44,6 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(secret_scan.joined(base), 256).alias("base_sha256"), secret_scan.joined(F.col("secret_spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op6_mix_sources, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (
+    op3_language_id, op4_quality_score, op5_document_sketch, op6_mix_sources, op7_bpe_round_trip, op10_secret_scan)}
 ORACLES = {"op6_mix_sources": mixing.MIX_SQL}
