@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from spectrafold.llm import bpe, language, mixing, quality, secret_scan, sketches
+from spectrafold.llm import bpe, language, mixing, quality, secret_scan, simhash, sketches, vectors
 from spectrafold.llm.common import Scratch, crc_fold, held_out, read
 
 TOKENIZERS = "/opt/tokenizers"
 
 
+def op1_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = language.fit(docs.where(crc_fold() != 2).select("text", "lang"))
@@ -36,6 +41,10 @@ def op7_bpe_round_trip(spark: SparkSession, sf_dir: str, tokenizer: str = f"{TOK
     return bpe.encode_documents(read(spark, sf_dir, "documents"), tokenizer)
 
 
+def op9_embedding_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(read(spark, sf_dir, "embeddings"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.find_secrets(read(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.col("base_spans")
@@ -45,5 +54,6 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op3_language_id, op4_quality_score, op5_document_sketch, op6_mix_sources, op7_bpe_round_trip, op10_secret_scan)}
+    op1_simhash_groups, op3_language_id, op4_quality_score, op5_document_sketch, op6_mix_sources, op7_bpe_round_trip, op9_embedding_groups,
+    op10_secret_scan)}
 ORACLES = {"op6_mix_sources": mixing.MIX_SQL}
