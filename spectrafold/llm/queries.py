@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from spectrafold.llm import bpe, language, mixing, quality, secret_scan, simhash, sketches, vectors
+from spectrafold.llm import bpe, extraction, language, mixing, quality, secret_scan, simhash, sketches, vectors
 from spectrafold.llm.common import Scratch, crc_fold, held_out, read
 
 TOKENIZERS = "/opt/tokenizers"
@@ -41,6 +41,10 @@ def op7_bpe_round_trip(spark: SparkSession, sf_dir: str, tokenizer: str = f"{TOK
     return bpe.encode_documents(read(spark, sf_dir, "documents"), tokenizer)
 
 
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(read(spark, sf_dir, "pages"))
+
+
 def op9_embedding_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(read(spark, sf_dir, "embeddings"))
 
@@ -54,6 +58,6 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_simhash_groups, op3_language_id, op4_quality_score, op5_document_sketch, op6_mix_sources, op7_bpe_round_trip, op9_embedding_groups,
-    op10_secret_scan)}
+    op1_simhash_groups, op3_language_id, op4_quality_score, op5_document_sketch, op6_mix_sources, op7_bpe_round_trip, op8_main_text,
+    op9_embedding_groups, op10_secret_scan)}
 ORACLES = {"op6_mix_sources": mixing.MIX_SQL}
