@@ -124,6 +124,21 @@ def fit(train: DataFrame) -> Model:
     return Model(names, log_prob, np.log(docs / docs.sum()) if names else docs)
 
 
+def _guess(model: Model, texts: list[str]) -> tuple[list[str], np.ndarray]:
+    total = np.zeros((len(model.names), len(texts)))
+    grams = np.zeros(len(texts), np.int64)
+    for rows, buckets in hashed_grams(texts):
+        grams += np.bincount(rows, minlength=len(texts))
+        for k in range(len(model.names)):
+            total[k] += np.bincount(rows, weights=model.log_prob[k][buckets], minlength=len(texts))
+    if not model.names or not texts:
+        return [UNKNOWN] * len(texts), np.zeros(len(texts))
+    total += model.prior[:, None]
+    best, known = total.argmax(axis=0), grams > 0
+    sure = 1 / np.exp(total - total.max(axis=0)).sum(axis=0)
+    return [model.names[b] if k else UNKNOWN for b, k in zip(best, known)], np.where(known, sure, 0.0)
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """docs' doc_id with lang_pred and score, the posterior probability of the language predicted.
 
@@ -132,25 +147,21 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_LANGUAGES x 2^BITS numbers
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, log_prob, prior = shared.value.names, shared.value.log_prob, shared.value.prior
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            total = np.zeros((len(names), len(texts)))
-            grams = np.zeros(len(texts), np.int64)
-            for rows, buckets in hashed_grams(texts):
-                grams += np.bincount(rows, minlength=len(texts))
-                for k in range(len(names)):
-                    total[k] += np.bincount(rows, weights=log_prob[k][buckets], minlength=len(texts))
-            known = grams > 0
-            if names:
-                total += prior[:, None]
-                best = total.argmax(axis=0)
-                sure = 1 / np.exp(total - total.max(axis=0)).sum(axis=0)
-                lang = [names[b] if k else UNKNOWN for b, k in zip(best, known)]
-                sure = np.where(known, sure, 0.0)
-            else:
-                lang, sure = [UNKNOWN] * len(texts), np.zeros(len(texts))
+            lang, sure = _guess(shared.value, [t or "" for t in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lang, pa.string()), pa.array(sure, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(score, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+
+
+def with_known_language(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The rows of docs, with all their columns, whose language is known with a posterior of `least` or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lang, sure = _guess(shared.value, [t or "" for t in batch.column("text").to_pylist()])
+            yield batch.filter(pa.array([x != UNKNOWN and s >= least for x, s in zip(lang, sure)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -139,3 +139,12 @@ def masked(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
 
     return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(
         spans, start, step, lambda s: F.concat(F.array_join(s["parts"], ""), F.substring(text, s["at"] + 1, F.length(text)))))
+
+
+def mask_secrets(docs: DataFrame) -> DataFrame:
+    """docs with the secrets in their texts masked; n_chars, where there is one, follows; null texts stay null."""
+    found = find_secrets(docs.select(F.struct(*docs.columns).alias("row"), "text"))
+    out = found.select("row", F.when(F.col("text").isNotNull(), masked(F.col("text"), F.col("secret_spans"))).alias("clean"))
+    fields = {"text": F.col("clean"), "n_chars": F.when(F.col("row.text") == F.col("clean"), F.col("row.n_chars")).otherwise(F.length("clean"))}
+    kinds = {f.name: f.dataType for f in docs.schema}
+    return out.select(*[fields.get(c, F.col(f"row.`{c}`")).cast(kinds[c]).alias(c) for c in docs.columns])
