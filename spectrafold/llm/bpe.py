@@ -6,8 +6,9 @@ import hashlib
 import json
 from array import array
 from collections.abc import Iterable, Iterator
-from itertools import islice
+from itertools import chain, islice
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -27,7 +28,7 @@ def _byte_signs() -> dict[str, int]:
 
 
 class Vocabulary:
-    """What a tokenizer file says: token bytes by id, ranks of merges, special tokens."""
+    """What a tokenizer file says: token bytes by id, merges by rank, special tokens."""
 
     def __init__(self, text: str):
         data = json.loads(text)
@@ -36,31 +37,46 @@ class Vocabulary:
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
         self.bytes = {k: b for b, k in self.ids.items()} | {k: s.encode() for s, k in self.special.items()}
         pairs = (m if isinstance(m, list) else m.split(" ") for m in data["model"]["merges"])
-        self.ranks = {tuple(bytes(signs[c] for c in side) for side in pair): rank for rank, pair in enumerate(pairs)}
+        merges = [tuple(bytes(signs[c] for c in side) for side in pair) for pair in pairs]
+        self.ranks = {(self.ids[x], self.ids[y]): rank for rank, (x, y) in enumerate(merges)}
+        self.made: dict[int, tuple[int, int, int]] = {}
+        for rank, (x, y) in enumerate(merges):
+            self.made.setdefault(self.ids[x + y], (self.ids[x], self.ids[y], rank))
+        self.edge: tuple[dict[int, list], dict[int, list]] = ({}, {})
         self.longest = max(map(len, self.ids))
         self.split = regex.compile(SPLIT)
         self.cut = regex.compile("|".join(f"({regex.escape(s)})" for s in sorted(self.special, key=len, reverse=True))) if self.special else None
         self.memo: dict[str, bytes] = {}
         self.fit: dict[tuple[int, int], bool] = {}
 
-    def merged(self, word: bytes) -> list[bytes]:
-        """Encoding by merging the pair of lowest rank, leftmost first, until none is left."""
-        parts = [word[k:k + 1] for k in range(len(word))]
-        while len(parts) > 1:
-            rank, at = min((self.ranks.get((a, b), 1 << 40), k) for k, (a, b) in enumerate(zip(parts, parts[1:])))
-            if rank == 1 << 40:
-                break
-            parts[at:at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+    def edges(self, token: int, side: int) -> list[tuple[int, int]]:
+        """The tokens that stand at the left (0) or right (1) edge while the token is put together, the whole one
+        first, each with the rank of the merge that ends its time there."""
+        known = self.edge[side].get(token)
+        if known is None:
+            known, rest, until = [], token, 1 << 40
+            while True:
+                known.append((rest, until))
+                if rest not in self.made:
+                    break
+                *parts, until = self.made[rest]
+                rest = parts[side]
+            self.edge[side][token] = known
+        return known
 
     def follows(self, a: int, b: int) -> bool:
-        """Whether b may follow a: the two tokens' bytes are encoded as just these two."""
+        """Whether b may follow a: encoding their bytes together gives just these two.
+
+        It does unless tokens x and y that face each other across the border merge before either is taken up on its
+        own side. Of equal ranks the leftmost merge comes first.
+        """
         known = self.fit.get((a, b))
         if known is None:
-            left, right = self.bytes[a], self.bytes[b]
             if len(self.fit) > 1_000_000:
                 self.fit.clear()
-            known = self.fit[a, b] = self.merged(left + right) == [left, right]
+            rank, left = self.ranks.get, self.edges(b, 0)
+            known = self.fit[a, b] = not any(
+                (r := rank((x, y))) is not None and r < until_x and r <= until_y for x, until_x in self.edges(a, 1) for y, until_y in left)
         return known
 
     def encode_words(self, words: Iterable[str]) -> None:
@@ -72,7 +88,7 @@ class Vocabulary:
         shared prefix is worked out once. The encoding is read back from the last token.
         """
         ids, sizes, follows = self.ids, {k: len(b) for k, b in self.bytes.items()}, self.follows
-        last, before = [0], b""
+        last, begin, before = [0], [0], b""
         for raw, word in sorted((w.encode("utf-8", "surrogatepass"), w) for w in words):
             n, shared = len(raw), 0
             limit = min(n, len(before))
@@ -81,12 +97,15 @@ class Vocabulary:
             else:
                 while raw[shared] == before[shared]:
                     shared += 1
-            del last[shared + 1:]
+            del last[shared + 1:], begin[shared + 1:]
             for depth in range(shared + 1, n + 1):
-                for start in range(max(0, depth - self.longest), depth):
+                # there is just one such token, so any order of search finds it; most start where the one before did
+                near = begin[depth - 1]
+                for start in chain(range(near, depth), range(near - 1, max(-1, depth - self.longest - 1), -1)):
                     token = ids.get(raw[start:depth])
                     if token is not None and (start == 0 or follows(last[start], token)):
                         last.append(token)
+                        begin.append(start)
                         break
                 else:
                     raise ValueError("the vocabulary lacks a byte")
@@ -135,7 +154,7 @@ class Vocabulary:
 
     def _group(self, texts: list[str]) -> Iterator[Iterator[bytes]]:
         lists = [[w for block in self.blocks(t) for w in block] for t in texts]
-        self._learn({w for words in lists for w in words})
+        self._learn(set().union(*lists))
         for words in lists:
             yield iter([b"".join(map(self.memo.__getitem__, words))])
 
@@ -180,22 +199,23 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, keep: tuple[str, ...]
                 counts, sums, decoded, lists = [], [], [], []
                 for blocks in vocabulary.encode([t or "" for t in batch.column("text").to_pylist()]):
                     n, digest, back = 0, hashlib.sha256(), hashlib.sha256()
-                    own: list[int] = []
+                    own: list[bytes] = []
                     for block in blocks:
                         ids = array("I", block)
                         n += len(ids)
                         digest.update(block)
                         back.update(vocabulary.decode(ids).decode("utf-8", "replace").encode())
                         if with_ids:
-                            own.extend(ids)
+                            own.append(block)
                     counts.append(n)
                     sums.append(digest.hexdigest())
                     decoded.append(back.hexdigest())
-                    lists.append(own)
+                    lists.append(b"".join(own))
                 columns = [batch.column(c) for c in keep] + [pa.array(counts, pa.int64()), pa.array(sums, pa.string()), pa.array(decoded, pa.string())]
                 names = [*keep, "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
-                    columns.append(pa.array(lists, pa.list_(pa.int32())))
+                    values = pa.array(np.frombuffer(b"".join(lists), "<i4"))
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts]).astype(np.int32)), values))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
