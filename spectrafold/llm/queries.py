@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from spectrafold.llm import bpe, extraction, language, mixing, quality, secret_scan, simhash, sketches, vectors
+from spectrafold.llm import bpe, extraction, language, mixing, quality, secret_scan, simhash, sketches, substrings, vectors
 from spectrafold.llm.common import Scratch, crc_fold, held_out, read
 
 TOKENIZERS = "/opt/tokenizers"
@@ -15,6 +15,11 @@ def op1_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.without_repeats(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = language.fit(docs.where(crc_fold() != 2).select("text", "lang"))
@@ -58,6 +63,6 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_simhash_groups, op3_language_id, op4_quality_score, op5_document_sketch, op6_mix_sources, op7_bpe_round_trip, op8_main_text,
-    op9_embedding_groups, op10_secret_scan)}
+    op1_simhash_groups, op2_repeated_strings, op3_language_id, op4_quality_score, op5_document_sketch, op6_mix_sources,
+    op7_bpe_round_trip, op8_main_text, op9_embedding_groups, op10_secret_scan)}
 ORACLES = {"op6_mix_sources": mixing.MIX_SQL}
