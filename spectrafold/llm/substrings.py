@@ -209,8 +209,11 @@ def _earlier(payloads: list[bytes]) -> Iterator[tuple[int, bytes]]:
                 if mine != theirs:
                     spans.setdefault(int(doc[me]), []).extend((int(pos[me]), int(pos[me]) + len(piece)))
         seen += n
-    if first:
-        pieces, at = list(first), np.fromiter(first.values(), np.int64, len(first))
+    at = np.fromiter(first.values(), np.int64, len(first))
+    _, same, kinds = np.unique(anchor[at], return_inverse=True, return_counts=True)
+    several = kinds[same] > 1  # a piece that is the only one of its anchor shares no string with another
+    if several.any():
+        pieces, at = [p for p, more in zip(first, several) if more], at[several]
         length = size[at].astype(np.int64)
         order, prefix = sorted_suffixes(pieces)
         begin = np.cumsum(length + 1) - length - 1
