@@ -119,7 +119,9 @@ class _Block:
             for a, b in zip(bounds[:-1], bounds[1:]):
                 own = order[a:b]
                 head = np.array([len(own)], np.int64).tobytes()
-                data = [head, doc[own].tobytes(), pos[own].tobytes(), anchor[own].tobytes(), sizes[own].tobytes(), *[pieces[k] for k in own]]
+                # a shard tells anchors apart well enough by 32 bits: a mix-up only compares more pieces
+                numbers = (np.diff(doc[own], prepend=0), pos[own].astype(np.int32), anchor[own].astype(np.uint32), sizes[own].astype(np.uint8))
+                data = [head, *[x.tobytes() for x in numbers], *[pieces[k] for k in own]]
                 yield int(shard[own[0]]), None, pack.compress(b"".join(data))
         for doc, spans in self.gone.items():
             yield hash(doc) % shards, doc, merged(np.array(spans, np.int64).reshape(-1, 2)).tobytes()
@@ -185,9 +187,10 @@ def _earlier(payloads: list[bytes]) -> Iterator[tuple[int, bytes]]:
     for data in payloads:  # first the numbers alone: an anchor met once needs no more
         raw = unpack.decompress(data)
         n = int(np.frombuffer(raw, np.int64, 1)[0])
-        for k in range(3):
-            columns[k].append(np.frombuffer(raw, np.int64, n, 8 + 8 * n * k))
-        columns[3].append(np.frombuffer(raw, np.int32, n, 8 + 24 * n))
+        columns[0].append(np.cumsum(np.frombuffer(raw, np.int64, n, 8)))
+        columns[1].append(np.frombuffer(raw, np.int32, n, 8 + 8 * n).astype(np.int64))
+        columns[2].append(np.frombuffer(raw, np.uint32, n, 8 + 12 * n))
+        columns[3].append(np.frombuffer(raw, np.uint8, n, 8 + 16 * n).astype(np.int64))
     doc, pos, anchor, size = (np.concatenate(c) for c in columns)
     _, same, often = np.unique(anchor, return_inverse=True, return_counts=True)
     shared = often[same] > 1
@@ -197,7 +200,7 @@ def _earlier(payloads: list[bytes]) -> Iterator[tuple[int, bytes]]:
     for data in payloads:
         raw = unpack.decompress(data)
         n = int(np.frombuffer(raw, np.int64, 1)[0])
-        ends = np.cumsum(size[seen:seen + n]) + 8 + 28 * n
+        ends = np.cumsum(size[seen:seen + n]) + 8 + 17 * n
         for k in np.flatnonzero(shared[seen:seen + n]):
             me = seen + int(k)
             piece = raw[ends[k] - size[me]:ends[k]]
@@ -263,11 +266,20 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     return dealt.repartition(partitions, "shard").sortWithinPartitions("shard").mapInArrow(_judge, "doc long, spans binary")
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed one by one, for the way to their spans."""
+    pack = zstandard.ZstdCompressor(level=1)
+    for batch in batches:
+        raw = pa.array([pack.compress(t) for t in batch.column("raw").to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("doc"), raw], ["doc_id", "doc", "packed"])
+
+
 def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    unpack = zstandard.ZstdDecompressor()
     for batch in batches:
         rows = []
-        for doc, text, parts in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "parts"))):
-            raw = (text or "").encode("utf-8", "surrogatepass")
+        for doc, packed, parts in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "packed", "parts"))):
+            raw = unpack.decompress(packed)
             spans = merged(np.frombuffer(b"".join(parts or ()), np.int64).reshape(-1, 2))
             digest, at, gone = hashlib.sha256(), 0, 0
             for a, b in spans.tolist():
@@ -290,6 +302,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     than itself, so repeated rows lose the same bytes. Other columns are ignored; an empty table gives no rows.
     """
     spans = removed_spans(docs).groupBy("doc").agg(F.collect_list("spans").alias("parts"))
-    joined = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc")).join(spans, "doc", "left")
-    return joined.select("doc_id", "text", "parts").mapInArrow(
-        _strip, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<long>")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    texts = docs.select("doc_id", F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc"), F.coalesce("text", F.lit("")).cast("binary").alias("raw"))
+    packed = texts.mapInArrow(_pack, f"doc_id {kind}, doc long, packed binary")
+    return packed.join(spans, "doc", "left").select("doc_id", "packed", "parts").mapInArrow(
+        _strip, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<long>")

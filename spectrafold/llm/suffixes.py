@@ -15,7 +15,7 @@ CAP = 100  # prefixes are counted up to here
 OPEN = 255  # no bound yet
 IN_MEMORY = 1 << 20
 CHUNK = 1 << 18
-BUCKET = 1 << 14
+BUCKET = 1 << 10
 
 
 class BucketQueue:
