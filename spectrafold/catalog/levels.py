@@ -12,12 +12,12 @@ from spectrafold.plans import colour, dispersion, levels
 from spectrafold.sources import driver, tables as t
 
 LEVELS = """levels AS (SELECT obj_id, rn - 1 AS idx, level FROM (SELECT obj_id, level, row_number() OVER (PARTITION BY obj_id ORDER BY level) AS rn
-    FROM (SELECT DISTINCT concat(p_brand, '/', p_type) AS obj_id, p_retailprice AS level FROM part) x) y WHERE rn <= 20)"""
+    FROM (SELECT DISTINCT concat(p_brand, '/', p_type) AS obj_id, p_retailprice AS level FROM part) x) y)"""
 
 
 def _levels(spark, d):
     prices = t.table(spark, d, "part").select(F.concat_ws("/", "p_brand", "p_type").alias("obj"), "p_retailprice").distinct()
-    return levels.lowest_levels(prices, "obj", "p_retailprice")
+    return levels.ordered_levels(prices, "obj", "p_retailprice")
 
 
 @query(with_(LEVELS, """s AS (SELECT *, level - lag(level) OVER w AS s, min(level) OVER g AS f0, max(level) OVER g AS fm, count(*) OVER g AS n FROM levels

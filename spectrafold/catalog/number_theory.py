@@ -127,7 +127,7 @@ def valley_refinement(spark, d):
 
 
 CF = (RATIONALS, """cf(seq_id, k, n, d, a, q1, q0) AS (SELECT seq_id, 0, den, num % den, num // den, CAST(1 AS BIGINT), CAST(0 AS BIGINT) FROM rationals
-    UNION ALL SELECT seq_id, k + 1, d, n % d, n // d, (n // d) * q1 + q0, q1 FROM cf WHERE d <> 0 AND k < 50)""")
+    UNION ALL SELECT seq_id, k + 1, d, n % d, n // d, (n // d) * q1 + q0, q1 FROM cf WHERE d <> 0 AND k < 91)""")
 
 
 @query(with_(*CF, recursive=True) + "SELECT seq_id, CAST(k AS INTEGER) AS k, a, q1 AS q FROM cf")

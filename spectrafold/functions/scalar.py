@@ -104,7 +104,9 @@ def multiplicative_order(base, modulus, bound) -> Column:
     start = F.struct(F.lit(1).cast("long").alias("power"), F.lit(None).cast("long").alias("found"))
 
     def step(state, k):
-        power = (state["power"] * base) % modulus
+        # products of factors under 3.0e9 fit a BIGINT; larger ones are taken in exact decimals
+        wide = ((state["power"].cast("decimal(19,0)") * base.cast("decimal(19,0)")) % modulus.cast("decimal(19,0)")).cast("long")
+        power = F.when((modulus < 3_000_000_000) & (F.abs(base) < 3_000_000_000), (state["power"] * base) % modulus).otherwise(wide)
         return F.struct(
             F.when(state["found"].isNull(), power).otherwise(state["power"]).alias("power"),
             F.coalesce(state["found"], F.when(power == 1, k)).alias("found"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 
-def expand_rationals(rationals: DataFrame, max_terms: int = 51) -> DataFrame:
+def expand_rationals(rationals: DataFrame, max_terms: int = 92) -> DataFrame:
     """(seq_id, k, a, q): partial quotients and convergent denominators of num / den.
 
     Euclid runs inside the row on 64-bit integers, where it needs at most 91 steps.

@@ -63,7 +63,10 @@ def euler_atlas(points: DataFrame, table: DataFrame, k_limit: int, curve: bool =
     following = table.select((F.col("k") - 1).alias("k"), F.col("p").alias("p_next"), F.col("ln_p").alias("ln_next"))
     ranked, size = channel_ranks(table, k_limit)
     lookup = table.join(following, "k")
-    terms = envelope(point_terms(points.where(F.col("kmax") <= k_limit), lookup)).join(F.broadcast(ranked), ["kmax", "k"])
+    # a point beyond the table would lose terms; it stops the job instead of going missing
+    too_long = F.raise_error(F.format_string("kmax %d is above the table's %d terms", F.col("kmax"), F.lit(k_limit))).cast("int")
+    within = F.when(F.col("kmax") > k_limit, too_long).otherwise(F.col("kmax"))
+    terms = envelope(point_terms(points.withColumn("kmax", within), lookup)).join(F.broadcast(ranked), ["kmax", "k"])
     phase = F.col("t") * F.col("ln_p")
     terms = terms.withColumns({"_cos": F.cos(phase), "_sin": F.sin(phase)})
     terms = terms.withColumns({"_rc": tied_rank(["point_id"], "_cos"), "_rs": tied_rank(["point_id"], "_sin")})

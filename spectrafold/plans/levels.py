@@ -15,11 +15,11 @@ FEATURES = (
 ).split()
 
 
-def lowest_levels(df: DataFrame, obj: str, level: str, modes: int = 20) -> DataFrame:
-    """(obj_id, idx, level): the lowest ``modes`` levels, trimmed on the map side before the shuffle."""
+def ordered_levels(df: DataFrame, obj: str, level: str) -> DataFrame:
+    """(obj_id, idx, level): all levels of each object, numbered from the lowest."""
     order = W.partitionBy("obj_id").orderBy("level")
     rows = df.select(F.col(obj).alias("obj_id"), F.col(level).cast("double").alias("level"))
-    return rows.withColumn("idx", F.row_number().over(order)).where(F.col("idx") <= modes).withColumn("idx", F.col("idx") - 1)
+    return rows.withColumn("idx", F.row_number().over(order) - 1)
 
 
 def level_profile(levels: DataFrame) -> DataFrame:
