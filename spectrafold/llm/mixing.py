@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from spectrafold.llm.common import WORD_CLASS
 
-BLOCK_ROWS = 20_000
+BLOCK_ROWS = 2_000
+SALTS = 64
 
 
 def word_count(text: Column) -> Column:
@@ -59,9 +60,10 @@ def mix_sources(
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     hashed = carried.withColumn("_u", F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"))
     targets = source_targets(carried, weights, share, max_epochs)
+    salted = targets.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))  # a hot source meets its target in many tasks
     blocks = F.ceil(F.col("n_rows") / BLOCK_ROWS)
     placed = (
-        hashed.drop("source").join(targets, "source_key")
+        hashed.drop("source").withColumn("_salt", F.col("_u") % SALTS).join(salted, ["source_key", "_salt"])
         .withColumn("_block", F.floor(F.col("_u") * blocks / F.lit(2.0**32)).cast("long"))
     )
     sums = placed.groupBy("source_key", "_block").agg(F.sum("size").alias("_sum"))
