@@ -16,6 +16,11 @@ def first_match(rules: Sequence[tuple[Column, str, Column]], default: tuple[str,
     return verdict.otherwise(default[0]), reason.otherwise(default[1])
 
 
+def because(*facts: tuple[str, Column, str]) -> Column:
+    """Reason text: each feature's name and value with the limit that it met."""
+    return F.concat_ws(", ", *[F.format_string("%s = %.3f [%s]", F.lit(name), value.cast("double"), F.lit(limit)) for name, value, limit in facts])
+
+
 def tags(rules: Sequence[tuple[Column, str, Column]], fallback: tuple[str, str] | None = None) -> Column:
     """ARRAY<STRUCT<tag, detail>> of every rule that holds, in rule order."""
     marks = [F.when(c, F.struct(F.lit(t).alias("tag"), d.alias("detail"))) for c, t, d in rules]
