@@ -142,8 +142,8 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, lists: int = LISTS, pr
 
     Equal vectors are one class, linked among themselves; classes are indexed and searched, in tiles of bounded size
     however full a list is. The quantiser is fitted on at most `sample` classes, the first by hash. Vectors that are
-    null, zero, hold null or non-finite components, or have another length than most usable ones, and rows without
-    vec_id link with nothing; rows without id have no component. Rows that share a vec_id count as one node. Other
+    null, zero or hold null or non-finite components, and rows without vec_id, link with nothing; those of another length
+    than most usable ones link with equal ones alone; rows without id have no component. Rows that share a vec_id count as one node. Other
     columns are ignored; an empty table gives no rows.
     """
     spark, scratch = vectors.sparkSession, Scratch(vectors.sparkSession)
