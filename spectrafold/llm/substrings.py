@@ -20,6 +20,7 @@ from spectrafold.llm.suffixes import CAP, sorted_suffixes
 LENGTH = CAP
 GRAM = 24
 WINDOW = LENGTH - GRAM + 1
+REACH = (LENGTH - GRAM) // 2  # a string has this many bytes before its anchor, or after it
 SEGMENT = 1 << 21
 POS_BITS = 22
 FLUSH = 12 << 20
@@ -42,11 +43,11 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers
 
 
-def anchors(raw: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first start, last start, anchor hash) of every piece of raw, whose bytes belong to `owner`; no piece mixes owners."""
+def anchors(raw: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(first start, last start, anchor hash, anchor) of every piece of raw, whose bytes belong to `owner`; no piece mixes owners."""
     n = len(raw)
     if n < LENGTH:
-        return (np.zeros(0, np.int64),) * 3
+        return (np.zeros(0, np.int64),) * 4
     up, down = _power_tables(n + 1)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
@@ -64,11 +65,12 @@ def anchors(raw: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     least = np.minimum(since[:windows], upto[WINDOW - 1:WINDOW - 1 + windows])
     at = np.flatnonzero(owner[:windows] == owner[LENGTH - 1:])
     if not len(at):
-        return (np.zeros(0, np.int64),) * 3
+        return (np.zeros(0, np.int64),) * 4
     new = np.r_[True, (np.diff(at) != 1) | (least[at][1:] != least[at][:-1]) | (owner[at][1:] != owner[at][:-1])]
     head = np.flatnonzero(new)
     tail = np.r_[head[1:] - 1, len(at) - 1]
-    return at[head], at[tail], (least[at[head]] >> np.uint64(POS_BITS)).astype(np.int64)
+    chosen = least[at[head]].astype(np.int64)
+    return at[head], at[tail], chosen >> POS_BITS & (1 << 64 - POS_BITS) - 1, chosen & (1 << POS_BITS) - 1
 
 
 class _Block:
@@ -79,6 +81,7 @@ class _Block:
         self.doc: list[int] = []
         self.pos: list[int] = []
         self.anchor: list[int] = []
+        self.inside: list[int] = []
         self.gone: dict[int, list[int]] = {}
         self.size = 0
 
@@ -87,16 +90,18 @@ class _Block:
         sizes = np.array([len(p) for p in parts])
         owner = np.repeat(np.arange(len(parts)), sizes)
         begin = np.cumsum(sizes) - sizes
-        first, last, anchor = anchors(raw, owner)
+        first, last, anchor, spot = anchors(raw, owner)
         whole, own = raw.tobytes(), owner[first] if len(first) else first
         local = first - begin[own] if len(first) else first
-        for a, z, o, p, h in zip(first.tolist(), (last + LENGTH).tolist(), own.tolist(), local.tolist(), anchor.tolist()):
+        columns = first, last + LENGTH, own, local, anchor, spot - first
+        for a, z, o, p, h, i in zip(*(c.tolist() for c in columns)):
             piece, doc, pos = whole[a:z], ids[o], bases[o] + p
             k = self.at.setdefault(piece, len(self.doc))
             if k == len(self.doc):
                 self.doc.append(doc)
                 self.pos.append(pos)
                 self.anchor.append(h)
+                self.inside.append(i)
                 continue
             old = self.doc[k], self.pos[k]
             if (doc, pos) < old:
@@ -113,14 +118,14 @@ class _Block:
             anchor = np.array(self.anchor)
             shard = (anchor * 0x2545F491 >> 7) % shards
             pieces, sizes = list(self.at), np.fromiter(map(len, self.at), np.int32, len(self.at))
-            doc, pos = np.array(self.doc, np.int64), np.array(self.pos, np.int64)
+            doc, pos, inside = np.array(self.doc, np.int64), np.array(self.pos, np.int64), np.array(self.inside, np.uint8)
             order = np.lexsort((pos, doc, shard))
             bounds = np.flatnonzero(np.r_[True, np.diff(shard[order]) != 0, True])
             for a, b in zip(bounds[:-1], bounds[1:]):
                 own = order[a:b]
                 head = np.array([len(own)], np.int64).tobytes()
                 # a shard tells anchors apart well enough by 32 bits: a mix-up only compares more pieces
-                numbers = (np.diff(doc[own], prepend=0), pos[own].astype(np.int32), anchor[own].astype(np.uint32), sizes[own].astype(np.uint8))
+                numbers = (np.diff(doc[own], prepend=0), pos[own].astype(np.int32), anchor[own].astype(np.uint32), sizes[own].astype(np.uint8), inside[own])
                 data = [head, *[x.tobytes() for x in numbers], *[pieces[k] for k in own]]
                 yield int(shard[own[0]]), None, pack.compress(b"".join(data))
         for doc, spans in self.gone.items():
@@ -180,10 +185,28 @@ def _deal(shards: int):
     return run
 
 
+def _meets_another(pieces: list[bytes], inside: list[int]) -> np.ndarray:
+    """Which distinct pieces have an anchor, with the REACH bytes before it or with those after it, that another has.
+
+    Pieces that share a string share its anchor and one of these two; the rest have no string to be compared.
+    """
+    before: dict[bytes, list[int]] = {}
+    after: dict[bytes, list[int]] = {}
+    for k, (piece, i) in enumerate(zip(pieces, inside)):
+        if i >= REACH:
+            before.setdefault(piece[i - REACH:i + GRAM], []).append(k)
+        if i + GRAM + REACH <= len(piece):
+            after.setdefault(piece[i:i + GRAM + REACH], []).append(k)
+    meets = np.zeros(len(pieces), bool)
+    for side in (before, after):
+        meets[[k for own in side.values() if len(own) > 1 for k in own]] = True
+    return meets
+
+
 def _earlier(payloads: list[bytes]) -> Iterator[tuple[int, bytes]]:
     """(doc, removed spans) that one shard's pieces show, several a document."""
     unpack = zstandard.ZstdDecompressor()
-    columns: list[list[np.ndarray]] = [[], [], [], []]
+    columns: list[list[np.ndarray]] = [[], [], [], [], []]
     for data in payloads:  # first the numbers alone: an anchor met once needs no more
         raw = unpack.decompress(data)
         n = int(np.frombuffer(raw, np.int64, 1)[0])
@@ -191,7 +214,8 @@ def _earlier(payloads: list[bytes]) -> Iterator[tuple[int, bytes]]:
         columns[1].append(np.frombuffer(raw, np.int32, n, 8 + 8 * n).astype(np.int64))
         columns[2].append(np.frombuffer(raw, np.uint32, n, 8 + 12 * n))
         columns[3].append(np.frombuffer(raw, np.uint8, n, 8 + 16 * n).astype(np.int64))
-    doc, pos, anchor, size = (np.concatenate(c) for c in columns)
+        columns[4].append(np.frombuffer(raw, np.uint8, n, 8 + 17 * n).astype(np.int64))
+    doc, pos, anchor, size, inside = (np.concatenate(c) for c in columns)
     _, same, often = np.unique(anchor, return_inverse=True, return_counts=True)
     shared = often[same] > 1
     first: dict[bytes, int] = {}
@@ -200,7 +224,7 @@ def _earlier(payloads: list[bytes]) -> Iterator[tuple[int, bytes]]:
     for data in payloads:
         raw = unpack.decompress(data)
         n = int(np.frombuffer(raw, np.int64, 1)[0])
-        ends = np.cumsum(size[seen:seen + n]) + 8 + 17 * n
+        ends = np.cumsum(size[seen:seen + n]) + 8 + 18 * n
         for k in np.flatnonzero(shared[seen:seen + n]):
             me = seen + int(k)
             piece = raw[ends[k] - size[me]:ends[k]]
@@ -213,8 +237,7 @@ def _earlier(payloads: list[bytes]) -> Iterator[tuple[int, bytes]]:
                     spans.setdefault(int(doc[me]), []).extend((int(pos[me]), int(pos[me]) + len(piece)))
         seen += n
     at = np.fromiter(first.values(), np.int64, len(first))
-    _, same, kinds = np.unique(anchor[at], return_inverse=True, return_counts=True)
-    several = kinds[same] > 1  # a piece that is the only one of its anchor shares no string with another
+    several = _meets_another(list(first), inside[at].tolist())
     if several.any():
         pieces, at = [p for p, more in zip(first, several) if more], at[several]
         length = size[at].astype(np.int64)
