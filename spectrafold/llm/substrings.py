@@ -74,16 +74,15 @@ def anchors(raw: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 class _Block:
-    """Distinct pieces of the texts of one stretch of input: where each starts first, and which bytes surely go."""
+    """Distinct pieces of the texts of one stretch of input: where each starts first, and which bytes surely go.
+
+    `at` has the row of each distinct piece; the columns hold one entry a row, `same` the row of the equal piece met first.
+    """
 
     def __init__(self) -> None:
         self.at: dict[bytes, int] = {}
-        self.doc: list[int] = []
-        self.pos: list[int] = []
-        self.anchor: list[int] = []
-        self.inside: list[int] = []
-        self.gone: dict[int, list[int]] = {}
-        self.size = 0
+        self.columns: list[tuple[np.ndarray, ...]] = []
+        self.count = self.size = 0
 
     def add(self, ids: list[int], bases: list[int], parts: list[bytes]) -> None:
         raw = np.frombuffer(b"".join(parts), np.uint8)
@@ -91,45 +90,42 @@ class _Block:
         owner = np.repeat(np.arange(len(parts)), sizes)
         begin = np.cumsum(sizes) - sizes
         first, last, anchor, spot = anchors(raw, owner)
-        whole, own = raw.tobytes(), owner[first] if len(first) else first
-        local = first - begin[own] if len(first) else first
-        columns = first, last + LENGTH, own, local, anchor, spot - first
-        for a, z, o, p, h, i in zip(*(c.tolist() for c in columns)):
-            piece, doc, pos = whole[a:z], ids[o], bases[o] + p
-            k = self.at.setdefault(piece, len(self.doc))
-            if k == len(self.doc):
-                self.doc.append(doc)
-                self.pos.append(pos)
-                self.anchor.append(h)
-                self.inside.append(i)
-                continue
-            old = self.doc[k], self.pos[k]
-            if (doc, pos) < old:
-                self.doc[k], self.pos[k] = doc, pos
-                doc, pos = old
-            elif (doc, pos) == old:
-                continue
-            self.gone.setdefault(doc, []).extend((pos, pos + z - a))
         self.size += len(raw)
+        if not len(first):
+            return
+        whole, own, meet = raw.tobytes(), owner[first], self.at.setdefault
+        rows = range(self.count, self.count + len(first))
+        same = [meet(whole[a:z], k) for k, a, z in zip(rows, first.tolist(), (last + LENGTH).tolist())]
+        doc, pos = np.array(ids, np.int64)[own], np.array(bases, np.int64)[own] + first - begin[own]
+        self.columns.append((np.array(same), doc, pos, anchor, last + LENGTH - first, spot - first))
+        self.count += len(first)
 
     def rows(self, shards: int) -> Iterator[tuple[int, int | None, bytes]]:
+        if not self.at:
+            return
         pack = zstandard.ZstdCompressor(level=3)
-        if self.doc:
-            anchor = np.array(self.anchor)
-            shard = (anchor * 0x2545F491 >> 7) % shards
-            pieces, sizes = list(self.at), np.fromiter(map(len, self.at), np.int32, len(self.at))
-            doc, pos, inside = np.array(self.doc, np.int64), np.array(self.pos, np.int64), np.array(self.inside, np.uint8)
-            order = np.lexsort((pos, doc, shard))
-            bounds = np.flatnonzero(np.r_[True, np.diff(shard[order]) != 0, True])
-            for a, b in zip(bounds[:-1], bounds[1:]):
-                own = order[a:b]
-                head = np.array([len(own)], np.int64).tobytes()
-                # a shard tells anchors apart well enough by 32 bits: a mix-up only compares more pieces
-                numbers = (np.diff(doc[own], prepend=0), pos[own].astype(np.int32), anchor[own].astype(np.uint32), sizes[own].astype(np.uint8), inside[own])
-                data = [head, *[x.tobytes() for x in numbers], *[pieces[k] for k in own]]
-                yield int(shard[own[0]]), None, pack.compress(b"".join(data))
-        for doc, spans in self.gone.items():
-            yield hash(doc) % shards, doc, merged(np.array(spans, np.int64).reshape(-1, 2)).tobytes()
+        same, doc, pos, anchor, size, inside = (np.concatenate(c) for c in zip(*self.columns))
+        by = np.lexsort((pos, doc, same))
+        head = np.flatnonzero(np.r_[True, np.diff(same[by]) != 0])
+        lead = by[head]  # the earliest of equal pieces, in order of `same`, as `at` has them
+        leader = np.repeat(lead, np.diff(np.r_[head, len(by)]))
+        late = by[(doc[by] != doc[leader]) | (pos[by] != pos[leader])]
+        shard = (anchor[lead] * 0x2545F491 >> 7) % shards
+        pieces = list(self.at)
+        order = np.lexsort((pos[lead], doc[lead], shard))
+        bounds = np.flatnonzero(np.r_[True, np.diff(shard[order]) != 0, True])
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            own = lead[order[a:b]]
+            head = np.array([len(own)], np.int64).tobytes()
+            # a shard tells anchors apart well enough by 32 bits: a mix-up only compares more pieces
+            numbers = (
+                np.diff(doc[own], prepend=0), pos[own].astype(np.int32), anchor[own].astype(np.uint32), size[own].astype(np.uint8),
+                inside[own].astype(np.uint8),
+            )
+            data = [head, *[x.tobytes() for x in numbers], *[pieces[k] for k in order[a:b].tolist()]]
+            yield int(shard[order[a]]), None, pack.compress(b"".join(data))
+        for gone, spans in spans_by_document(doc[late], pos[late], pos[late] + size[late]):
+            yield hash(gone) % shards, gone, spans
 
 
 def merged(spans: np.ndarray) -> np.ndarray:
@@ -142,6 +138,17 @@ def merged(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[head, 0], reach[np.r_[head[1:] - 1, len(spans) - 1]]], axis=1)
 
 
+def spans_by_document(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(document, its maximal runs as packed rows); a document is moved to its own stretch of one long line."""
+    ids, rank = np.unique(doc, return_inverse=True)
+    base = rank << 40
+    runs = merged(np.stack([start + base, end + base], axis=1))
+    edges = np.searchsorted(runs[:, 0] >> 40, np.arange(len(ids) + 1)).tolist()
+    runs &= (1 << 40) - 1
+    for k, one in enumerate(ids.tolist()):
+        yield one, runs[edges[k]:edges[k + 1]].tobytes()
+
+
 def _deal(shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(block: _Block) -> Iterator[pa.RecordBatch]:
@@ -219,28 +226,28 @@ def _earlier(payloads: list[bytes]) -> Iterator[tuple[int, bytes]]:
     _, same, often = np.unique(anchor, return_inverse=True, return_counts=True)
     shared = often[same] > 1
     first: dict[bytes, int] = {}
-    spans: dict[int, list[int]] = {}
-    seen = 0
+    rows, same, seen = [np.zeros(0, np.int64)], [], 0
     for data in payloads:
         raw = unpack.decompress(data)
         n = int(np.frombuffer(raw, np.int64, 1)[0])
-        ends = np.cumsum(size[seen:seen + n]) + 8 + 18 * n
-        for k in np.flatnonzero(shared[seen:seen + n]):
-            me = seen + int(k)
-            piece = raw[ends[k] - size[me]:ends[k]]
-            other = first.setdefault(piece, me)
-            if other != me:
-                mine, theirs = (doc[me], pos[me]), (doc[other], pos[other])
-                if mine < theirs:
-                    first[piece], me = me, other
-                if mine != theirs:
-                    spans.setdefault(int(doc[me]), []).extend((int(pos[me]), int(pos[me]) + len(piece)))
+        own = np.flatnonzero(shared[seen:seen + n])
+        z = np.cumsum(size[seen:seen + n])[own] + 8 + 18 * n
+        own += seen
+        same += [first.setdefault(raw[a:b], k) for k, a, b in zip(own.tolist(), (z - size[own]).tolist(), z.tolist())]
+        rows.append(own)
         seen += n
-    at = np.fromiter(first.values(), np.int64, len(first))
+    rows = np.concatenate(rows)
+    same = np.array(same, np.int64)
+    by = np.lexsort((pos[rows], doc[rows], same))
+    head = np.flatnonzero(np.diff(same[by], prepend=-1))
+    at = rows[by[head]]  # the earliest of equal pieces, in the order of `first`
+    leader, member = np.repeat(at, np.diff(np.r_[head, len(by)])), rows[by]
+    late = member[(doc[member] != doc[leader]) | (pos[member] != pos[leader])]
+    gone = [(doc[late], pos[late], pos[late] + size[late])]
     several = _meets_another(list(first), inside[at].tolist())
     if several.any():
         pieces, at = [p for p, more in zip(first, several) if more], at[several]
-        length = size[at].astype(np.int64)
+        length = size[at]
         order, prefix = sorted_suffixes(pieces)
         begin = np.cumsum(length + 1) - length - 1
         of = np.searchsorted(begin, order, side="right") - 1
@@ -252,11 +259,9 @@ def _earlier(payloads: list[bytes]) -> Iterator[tuple[int, bytes]]:
         rank = np.lexsort((where_pos, where_doc, group))
         head = np.r_[True, np.diff(group[rank]) != 0] if len(rank) else np.zeros(0, bool)
         lead = rank[head][np.cumsum(head) - 1] if len(rank) else rank
-        later = (where_doc[rank] != where_doc[lead]) | (where_pos[rank] != where_pos[lead])
-        for d, p in zip(where_doc[rank][later].tolist(), where_pos[rank][later].tolist()):
-            spans.setdefault(d, []).extend((p, p + LENGTH))
-    for d, own in spans.items():
-        yield d, merged(np.array(own, np.int64).reshape(-1, 2)).tobytes()
+        later = rank[(where_doc[rank] != where_doc[lead]) | (where_pos[rank] != where_pos[lead])]
+        gone.append((where_doc[later], where_pos[later], where_pos[later] + LENGTH))
+    yield from spans_by_document(*(np.concatenate(c) for c in zip(*gone)))
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

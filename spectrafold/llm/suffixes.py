@@ -16,6 +16,7 @@ OPEN = 255  # no bound yet
 IN_MEMORY = 1 << 20
 CHUNK = 1 << 18
 BUCKET = 1 << 10
+BASE = 1 << 15  # names of the base case of the recursion
 
 
 class BucketQueue:
@@ -202,24 +203,39 @@ def _names(s: np.ndarray, low: np.ndarray, starts: np.ndarray, stops: np.ndarray
     return rank
 
 
-def _extend(s: np.ndarray, a: np.ndarray, b: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Common prefix of the suffixes a and b in symbols, up to CAP, from a known part on."""
-    out = np.minimum(known, CAP)
-    active = np.flatnonzero(out < CAP)
+def _common(s: np.ndarray, a: np.ndarray, b: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Common prefix of the suffixes a and b of 16-bit symbols, up to CAP; left: symbols before the end of a piece."""
+    padded = np.r_[s, np.zeros(4, s.dtype)]
+    four = np.ndarray(len(s), "<u8", padded, strides=(2,))  # four symbols from each position on
+    most = np.minimum(np.minimum(left[a], left[b]), CAP)
+    out = np.zeros(len(a), np.int64)
+    active = np.flatnonzero(most > 0)
     while len(active):
-        x, y = a[active] + out[active], b[active] + out[active]
-        same = (s[x] == s[y]) & (s[x] > 0)
-        active = active[same]
-        out[active] += 1
-        active = active[out[active] < CAP]
-    return out
+        differ = four[a[active] + out[active]] ^ four[b[active] + out[active]]
+        lowest = differ & (~differ + np.uint64(1))
+        out[active] += np.where(differ == 0, 4, np.frexp(lowest.astype(float))[1] - 1 >> 4)
+        active = active[(differ == 0) & (out[active] < most[active])]
+    return np.minimum(out, most)
+
+
+def _doubled(s: np.ndarray) -> np.ndarray:
+    """Order of all suffixes of a string of few symbols, by ranks of prefixes of doubled length; 0 ends every piece."""
+    n = len(s)
+    ends = np.flatnonzero(s == 0)
+    left = ends[np.searchsorted(ends, np.arange(n))] - np.arange(n)
+    rank, kinds, reach = np.unique(s, return_inverse=True)[1], 0, 1
+    while rank.max() + 1 > kinds and reach <= left.max():
+        kinds = int(rank.max()) + 1
+        on = np.where(left >= reach, rank[np.minimum(np.arange(n) + reach, n - 1)] + 1, 0)
+        rank, reach = np.unique(rank * (kinds + 1) + on, return_inverse=True)[1], reach * 2
+    return np.argsort(rank, kind="stable")
 
 
 def suffix_order(s: np.ndarray, symbols: int, folder: str, depth: int = 0) -> tuple[np.ndarray, np.ndarray | None]:
     """(positions of all suffixes in order, prefix each shares with the one before); 0 ends every piece, also the last.
 
     Leftmost small suffixes are sorted by names of the stretches between them, by recursion unless the names tell
-    them all apart; they induce the large suffixes, and those the small ones. Prefixes are given at depth 0 alone.
+    them all apart or are few enough to be ranked directly, the base case; they induce the large suffixes, and those the small ones. Prefixes are given at depth 0 alone.
     """
     n = len(s)
     ends = np.flatnonzero(s == 0)
@@ -236,6 +252,8 @@ def suffix_order(s: np.ndarray, symbols: int, folder: str, depth: int = 0) -> tu
     inner = names[names > 0]
     if len(np.unique(inner)) == len(inner):
         order = np.argsort(names, kind="stable")
+    elif len(names) <= BASE:
+        order = _doubled(names)
     else:
         order, _ = suffix_order(names, int(names.max()) + 1, folder, depth + 1)
     seeds = starts[order]
@@ -244,7 +262,7 @@ def suffix_order(s: np.ndarray, symbols: int, folder: str, depth: int = 0) -> tu
     lcp = None
     if run is not None:
         lcp = np.zeros(len(seeds), np.uint8)
-        lcp[1:] = _extend(s, seeds[:-1], seeds[1:], np.zeros(len(seeds) - 1, np.int64))
+        lcp[1:] = _common(s, seeds[:-1], seeds[1:], ends[np.searchsorted(ends, np.arange(n))] - np.arange(n))
     large, large_lcp = _induce(s, key, ~low, seeds, lcp, run, symbols, folder, f"{depth}-large")
     back = large[::-1]
     back_lcp = np.r_[np.uint8(0), large_lcp[:0:-1]] if run is not None else None

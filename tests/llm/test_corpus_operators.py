@@ -83,6 +83,7 @@ def test_suffix_order_and_prefixes(monkeypatch):
         if spill:
             monkeypatch.setattr(suffixes, "IN_MEMORY", 5)
             monkeypatch.setattr(suffixes, "CHUNK", 3)
+            monkeypatch.setattr(suffixes, "BASE", 0)
         for _ in range(40):
             pieces = [bytes(rng.choice(b"aab") for _ in range(rng.randrange(1, 40))) for _ in range(6)] + [b"a" * 120 + b"b", b"a" * 110]
             tails, at = [], 0
