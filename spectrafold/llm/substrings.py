@@ -21,7 +21,7 @@ LENGTH = CAP
 GRAM = 24
 WINDOW = LENGTH - GRAM + 1
 REACH = (LENGTH - GRAM) // 2  # a string has this many bytes before its anchor, or after it
-SEGMENT = 1 << 21
+SEGMENT = 1 << 20
 POS_BITS = 22
 FLUSH = 12 << 20
 SHARDS_PER_PARTITION = 4
