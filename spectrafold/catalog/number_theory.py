@@ -106,7 +106,7 @@ def trajectory_scales(spark, d):
 
 
 ETA_SQL = with_("""g AS (SELECT c_custkey AS pos, 1.0::DOUBLE + c_custkey * 0.05::DOUBLE AS t FROM customer),
-  e AS (SELECT pos, t, sqrt(sum(s * cos(t * l)) ^ 2 + sum(s * sin(t * l)) ^ 2) AS eta FROM g, (SELECT CASE WHEN n % 2 = 1 THEN 1.0 ELSE -1.0 END * exp(-0.5 * ln(n)) AS s, ln(n) AS l FROM (SELECT unnest(range(1, 81)) AS n) v) w GROUP BY 1, 2),
+  e AS (SELECT pos, t, sqrt(sum(s * cos(t * l)) ^ 2 + sum(s * sin(t * l)) ^ 2) AS eta FROM (SELECT *, ln(n) AS l, CASE WHEN n % 2 = 1 THEN 1.0 ELSE -1.0 END * exp(-0.5 * ln(n)) AS s FROM (SELECT pos, t, unnest(range(1, CAST(greatest(80, ceil(t)) AS BIGINT) + 1)) AS n FROM g) v) w GROUP BY 1, 2),
   x AS (SELECT *, lag(eta) OVER (ORDER BY pos) AS a, lead(eta) OVER (ORDER BY pos) AS b FROM e)""") + """
   SELECT pos, t, eta FROM x WHERE eta < a AND eta < b AND eta < (SELECT quantile_cont(eta, 0.1) FROM e)"""
 

@@ -184,12 +184,20 @@ def trajectory_scales(points: DataFrame, primes: DataFrame, window: int = 50, pr
 
 
 def eta_scan(grid: DataFrame, terms: int = 80) -> DataFrame:
-    """Add |sum over n <= terms of (-1)^(n+1) n^-(1/2 + i t)| to a grid with column t and a unique key pos."""
-    rows = grid.withColumn("_n", F.explode(F.sequence(F.lit(1), F.lit(terms))))
-    ln = F.ln(F.col("_n").cast("double"))
-    size = F.when(F.col("_n") % 2 == 1, 1.0).otherwise(-1.0) * F.exp(-0.5 * ln)
-    sums = rows.groupBy("pos", "t").agg(F.sum(size * F.cos(F.col("t") * ln)).alias("_re"), F.sum(size * F.sin(F.col("t") * ln)).alias("_im"))
-    return sums.select("pos", "t", scalar.magnitude("_re", "_im").alias("eta"))
+    """Add |sum over n <= N of (-1)^(n+1) n^-(1/2 + i t)| to a grid with column t and a unique key pos.
+
+    N is ``terms`` or, above it, t rounded up: shorter sums lose the valleys. Each sum is taken inside its row.
+    """
+    count = F.greatest(F.lit(terms), F.ceil(F.abs("t"))).cast("int")
+    start = F.struct(F.lit(0.0).alias("re"), F.lit(0.0).alias("im"))
+
+    def step(state: Column, n: Column) -> Column:
+        ln = F.ln(n.cast("double"))
+        size = F.when(n % 2 == 1, 1.0).otherwise(-1.0) * F.exp(-0.5 * ln)
+        return F.struct((state["re"] + size * F.cos(F.col("t") * ln)).alias("re"), (state["im"] + size * F.sin(F.col("t") * ln)).alias("im"))
+
+    total = F.aggregate(F.sequence(F.lit(1), count), start, step, lambda z: scalar.magnitude(z["re"], z["im"]))
+    return grid.select("pos", "t", total.alias("eta"))
 
 
 def valley_scan(grid: DataFrame, lfunc: str = "zeta", terms: int = 80, limit: int = GROUP_LIMIT) -> DataFrame:
@@ -207,8 +215,10 @@ def valley_scan(grid: DataFrame, lfunc: str = "zeta", terms: int = 80, limit: in
 
 
 def _borwein_weights(n: int) -> list[float]:
-    """Weights of the accelerated alternating series: 1 - d_k / d_n."""
-    parts = [n * math.factorial(n + i - 1) * 4**i // (math.factorial(n - i) * math.factorial(2 * i)) for i in range(n + 1)]
+    """Weights of the accelerated alternating series: 1 - d_k / d_n, from exact whole parts of d_n."""
+    parts = [1]
+    for i in range(n):
+        parts.append(parts[-1] * 4 * (n + i) * (n - i) // ((2 * i + 1) * (2 * i + 2)))
     total, running, out = sum(parts), 0, []
     for part in parts[:-1]:
         running += part
@@ -217,11 +227,15 @@ def _borwein_weights(n: int) -> list[float]:
 
 
 def valley_refine(spark: SparkSession, candidates: DataFrame, rounds: int = 6, radius: float = 0.1, accept: float = 1e-3) -> DataFrame:
-    """(pos, gamma, residual): candidates narrowed by nested grids of 21 points; residuals below ``accept`` are kept.
+    """(pos, gamma, residual, accepted): every candidate narrowed by nested grids of 21 points.
 
-    The number of series terms grows with t in powers of two, from tables of at most 1024 weights.
+    ``accepted`` says that the residual is below ``accept``. Series lengths are powers of two from t + 20 up; their
+    weights are tabled as far as the highest candidate needs, at most four rows for each unit of t.
     """
-    sizes = [64, 128, 256, 512, 1024]
+    top = candidates.agg(F.max("t")).first()[0] or 0.0
+    sizes = [64]
+    while sizes[-1] < top + 20 + radius:
+        sizes.append(2 * sizes[-1])
     weights = spark.createDataFrame([(n, k + 1, w) for n in sizes for k, w in enumerate(_borwein_weights(n))], "size int, n int, weight double")
     size = F.lit(sizes[-1])
     for n in reversed(sizes[:-1]):
@@ -232,13 +246,13 @@ def valley_refine(spark: SparkSession, candidates: DataFrame, rounds: int = 6, r
         grid = current.select("pos", size.alias("size"), "gamma", F.explode(F.sequence(F.lit(-10), F.lit(10))).alias("_g")).select(
             "pos", "size", (F.col("gamma") + F.col("_g") * F.lit(width)).alias("t")
         )
-        terms = grid.withColumn("n", F.explode(F.sequence(F.lit(1), F.col("size")))).join(F.broadcast(weights), ["size", "n"])
+        terms = grid.withColumn("n", F.explode(F.sequence(F.lit(1), F.col("size")))).join(weights, ["size", "n"])
         ln = F.ln(F.col("n").cast("double"))
         amount = F.col("weight") * F.when(F.col("n") % 2 == 1, 1.0).otherwise(-1.0) * F.exp(-0.5 * ln)
         sums = terms.groupBy("pos", "t").agg(F.sum(amount * F.cos(F.col("t") * ln)).alias("a"), F.sum(amount * F.sin(F.col("t") * ln)).alias("b"))
         best = sums.groupBy("pos").agg(F.min(F.struct(scalar.magnitude("a", "b").alias("residual"), "t")).alias("m"))
         current = best.select("pos", F.col("m.t").alias("gamma"), F.col("m.residual").alias("residual"))
-    return current.where(F.col("residual") < accept)
+    return current.withColumn("accepted", F.col("residual") < accept)
 
 
 def weighted_residual(weights: DataFrame, primes: DataFrame, targets: DataFrame) -> DataFrame:

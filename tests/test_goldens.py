@@ -14,12 +14,28 @@ def test_valleys_lead_to_the_first_ten_zeros(spark):
     grid = spark.range(1200).select(F.col("id").alias("pos"), (F.col("id") * 0.05).alias("t"))
     valleys = euler.valley_scan(grid)
     assert valleys.count() == 14
-    found = sorted(r.gamma for r in euler.valley_refine(spark, valleys).where("gamma > 10 AND gamma < 50").collect())
+    found = sorted(r.gamma for r in euler.valley_refine(spark, valleys).where("accepted AND gamma > 10 AND gamma < 50").collect())
     assert np.allclose(found, ZETA_ZEROS, atol=1e-5)
     with pytest.raises(NotImplementedError):
         euler.valley_scan(grid, lfunc="dirichlet")
 
 
+def test_scan_far_up_finds_every_zero(spark):
+    """Between 1,050 and 1,080 the counting formula has 25 or 26 zeros; 80 terms and 1,024 weights would not do there."""
+    count = lambda t: t / (2 * math.pi) * math.log(t / (2 * math.pi * math.e)) + 7 / 8
+    grid = spark.range(600).select(F.col("id").alias("pos"), (1050 + F.col("id") * 0.05).alias("t"))
+    got = euler.valley_refine(spark, euler.valley_scan(grid)).where("accepted").count()
+    assert abs(got - (count(1080) - count(1050))) < 1.5
+
+
+def test_large_numbers_are_tested_for_primality(spark):
+    primes = [2, 37, 999_983, 1_000_003, 2**31 - 1, 2**61 - 1, 4_611_686_018_427_387_847]
+    others = [-7, 0, 1, 4, 999_983 * 2, 1_000_003 * 1_000_033, 3_215_031_751, 3_825_123_056_546_413_051, 2**62, 2_147_483_647**2]
+    rows = spark.createDataFrame([(n,) for n in primes + others], "n long")
+    got = {r.n for r in rows.where(tables.is_prime("n")).collect()}
+    assert got == set(primes)
+
+
 def test_continued_fraction_of_a_rational(spark):
     df = spark.createDataFrame([(1, 355, 113), (2, 144, 89), (3, -7, 3)], "seq_id long, num long, den long")
     rows = quotients.expand_rationals(df).orderBy("seq_id", "k").collect()
