@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from spectrafold.session import checkpointed
 
 BLOCK = 65_536
-GROUP_LIMIT = 1_000_000
 
 
 def _div(column: str, size: int) -> Column:
@@ -97,26 +96,16 @@ def running_sum(
     return joined.drop("_block", *[f"_i_{n}" for n in sums], *[f"_o_{n}" for n in sums])
 
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Row count of the biggest group; pre-aggregated, one number reaches the driver."""
-    return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-
-
 def dense_index(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str | Column],
-    name: str = "pos",
-    limit: int = GROUP_LIMIT,
-    bounded: bool = False,
+    df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], name: str = "pos", bounded: bool = False
 ) -> DataFrame:
     """Number the rows of every group from 0 in a total ``order``.
 
-    Groups up to ``limit`` rows use a window.  Beyond it the rows are range
-    partitioned on (keys, order), so a hot group is spread over many sorted
-    partitions, and only one count per partition and group is summed up.
+    Rows are range partitioned on (keys, order), so a hot group is spread over many sorted partitions, and only
+    one count per partition and group is summed up. With ``bounded`` the caller states that a group's size is
+    limited by construction; then one window does it.
     """
-    if bounded or largest_group(df, keys) <= limit:
+    if bounded:
         return df.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order)).cast("long") - 1)
     return ranged_index(df, keys, order, name)
 
@@ -133,8 +122,10 @@ def ranged_index(df: DataFrame, keys: Sequence[str], order: Sequence[str | Colum
     runs = ordered.groupBy(*keys, "_part").agg(F.min("_row").alias("_first"), F.count("*").alias("_rows"))
     earlier = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     runs = runs.select(*keys, "_part", "_first", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
+    runs = runs.withColumnsRenamed({c: f"_k_{c}" for c in [*keys, "_part"]})
+    same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in [*keys, "_part"]]  # rows without a key are a group, too
     return (
-        ordered.join(runs, [*keys, "_part"])
+        ordered.join(runs, same).drop(*[f"_k_{c}" for c in [*keys, "_part"]])
         .withColumn(name, F.col("_row") - F.col("_first") + F.col("_before"))
         .drop("_row", "_part", "_first", "_before")
     )
@@ -151,9 +142,9 @@ def join_stats(df: DataFrame, keys: Sequence[str], pos: str, stats: DataFrame, b
     return df.withColumn("_block", _div(pos, block)).join(spread, [*keys, "_block"]).drop("_block")
 
 
-def consecutive_pairs(df: DataFrame, keys: Sequence[str], id_: str, limit: int = GROUP_LIMIT) -> DataFrame:
+def consecutive_pairs(df: DataFrame, keys: Sequence[str], id_: str) -> DataFrame:
     """(keys, a, b): every id with its successor inside the group, a list of pairs that grows linearly."""
-    rows = dense_index(df.select(*keys, F.col(id_).alias("a")), keys, ["a"], "_i", limit)
+    rows = dense_index(df.select(*keys, F.col(id_).alias("a")), keys, ["a"], "_i")
     paired = halo_window(rows, keys, "_i", lambda w: {"b": F.lead("a").over(w)}, before=0)
     return paired.where("b IS NOT NULL").select(*keys, "a", "b")
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from spectrafold.functions import stats
-from spectrafold.operators.blocks import GROUP_LIMIT, dense_index, join_spread, largest_group, running_sum
+from spectrafold.operators.blocks import dense_index, join_spread, running_sum
 
 
 def tied_rank(keys: Sequence[str], value: str | Column) -> Column:
@@ -16,9 +16,7 @@ def tied_rank(keys: Sequence[str], value: str | Column) -> Column:
     return (F.rank().over(window) + F.count(F.lit(1)).over(window)) / 2.0
 
 
-def average_ranks(
-    df: DataFrame, keys: Sequence[str], value: str, name: str, limit: int = GROUP_LIMIT, bounded: bool = False
-) -> DataFrame:
+def average_ranks(df: DataFrame, keys: Sequence[str], value: str, name: str, bounded: bool = False) -> DataFrame:
     """Add the average rank of ``value`` within ``keys``; ties share their mean rank.
 
     Equal values are counted first, so a hot value is one row before anything is sorted.
@@ -26,11 +24,7 @@ def average_ranks(
     if bounded:
         return df.withColumn(name, tied_rank(keys, value))
     counts = df.groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    if largest_group(counts, keys) <= limit:
-        upto = W.partitionBy(*keys).orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-        ranked = counts.withColumn("_upto", F.sum("_n").over(upto))
-    else:
-        ranked = running_sum(dense_index(counts, keys, [value], "_i", limit), keys, "_i", {"_upto": "_n"})
+    ranked = running_sum(dense_index(counts, keys, [value], "_i"), keys, "_i", {"_upto": "_n"})
     ranked = ranked.select(*keys, value, (F.col("_upto") - (F.col("_n") - 1) / 2.0).alias(name))
     return df.join(ranked, [*keys, value])
 
@@ -48,17 +42,15 @@ def guarded_corr(x: str | Column, y: str | Column, floor: float = 1e-10) -> Colu
     return F.when(flat, 0.0).otherwise(F.coalesce(F.nanvl(stats.pearson(x, y), F.lit(0.0)), F.lit(0.0)))
 
 
-def quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, qs: dict[str, float], limit: int = GROUP_LIMIT, bounded: bool = False
-) -> DataFrame:
+def quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: dict[str, float], bounded: bool = False) -> DataFrame:
     """Exact, linearly interpolated quantiles ``{name: q}`` per group."""
     if not keys:
-        return quantiles(df.withColumn("_one", F.lit(0)), ["_one"], value, qs, limit, bounded).drop("_one")
+        return quantiles(df.withColumn("_one", F.lit(0)), ["_one"], value, qs, bounded).drop("_one")
     rows = df.select(*keys, value).where(F.col(value).isNotNull())
-    counts = rows.groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    if bounded or largest_group(counts, keys) <= limit:
+    if bounded:
         return rows.groupBy(*keys).agg(*[F.percentile(value, q).alias(n) for n, q in qs.items()])
-    ranked = running_sum(dense_index(counts, keys, [value], "_i", limit), keys, "_i", {"_upto": "_n"})
+    counts = rows.groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    ranked = running_sum(dense_index(counts, keys, [value], "_i"), keys, "_i", {"_upto": "_n"})
     size = ranked.groupBy(*keys).agg(F.max("_upto").alias("_size"))
     placed = join_spread(ranked, keys, size, value)
     columns = []

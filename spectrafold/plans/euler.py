@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from spectrafold.functions import scalar, stats
 from spectrafold.functions.fixed import EPS
 from spectrafold.functions.scalar import log_derivative, prime_power, quadratic_log_derivative
-from spectrafold.operators.blocks import GROUP_LIMIT, halo_window
+from spectrafold.operators.blocks import halo_window
 from spectrafold.operators.euler import envelope, point_terms
 from spectrafold.operators.ranks import guarded_corr, quantiles, tied_rank
 
@@ -200,7 +200,7 @@ def eta_scan(grid: DataFrame, terms: int = 80) -> DataFrame:
     return grid.select("pos", "t", total.alias("eta"))
 
 
-def valley_scan(grid: DataFrame, lfunc: str = "zeta", terms: int = 80, limit: int = GROUP_LIMIT) -> DataFrame:
+def valley_scan(grid: DataFrame, lfunc: str = "zeta", terms: int = 80) -> DataFrame:
     """(pos, t, eta): local minima below the 10 % quantile on a grid (pos dense, t ascending).
 
     The quantile of a large grid is found by distributed ranking, and neighbours come from blocks of the grid.
@@ -208,7 +208,7 @@ def valley_scan(grid: DataFrame, lfunc: str = "zeta", terms: int = 80, limit: in
     if lfunc != "zeta":
         raise NotImplementedError("the scan is defined for zeta only")
     values = eta_scan(grid, terms).withColumn("_all", F.lit(0))
-    threshold = quantiles(values, ["_all"], "eta", {"_q": 0.1}, limit)
+    threshold = quantiles(values, ["_all"], "eta", {"_q": 0.1})
     rows = halo_window(values, ["_all"], "pos", lambda w: {"_a": F.lag("eta").over(w), "_b": F.lead("eta").over(w)}, block=8192)
     low = rows.where((F.col("eta") < F.col("_a")) & (F.col("eta") < F.col("_b")))
     return low.join(F.broadcast(threshold), "_all").where("eta < _q").select("pos", "t", "eta")
