@@ -46,6 +46,6 @@ def escalated(issues: Sequence[tuple[Column, str, Column]], clean: tuple[str, Co
     reason = (
         F.when(count == 0, clean[1])
         .when(count == 1, F.try_element_at(details, F.lit(1)))
-        .otherwise(F.concat(F.lit("multiple issues: "), F.concat_ws("; ", details)))
+        .otherwise(F.concat_ws("; ", details))
     )
     return verdict, reason
