@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from spectrafold.functions.fixed import ZETA_ZEROS
 from spectrafold.operators import fourier, graphs, quotients, wavelet
-from spectrafold.plans import cascade, colour, curves, dispersion, euler, levels, quotient
+from spectrafold.plans import cascade, colour, curves, dispersion, euler, graph, levels, quotient
 from spectrafold.sources import tables
 
 
@@ -178,3 +178,50 @@ def test_laplacian_modes_of_path_and_star(spark):
     assert rows["two"]["values"][0] < 1e-9
     side = {r.node: r.modes[0] for r in vectors.where("graph_id = 'path'").collect()}
     assert all(side[i] * side[9 - i] < 0 for i in range(5))
+
+
+def _dense_graph_features(n, pairs, modes=20):
+    """Spectrum and the columns that rest on it, from the dense Laplacian."""
+    a = np.zeros((n, n))
+    for i, j in pairs:
+        a[i, j] = a[j, i] = 1
+    degree = a.sum(axis=1)
+    values, vectors = np.linalg.eigh(np.diag(degree) - a)
+    low = np.maximum(values[:modes], 0)
+    positive, fiedler, mean = low[low > 1e-10], vectors[:, 1], degree.mean()
+    cut = np.mean([fiedler[i] * fiedler[j] < 0 for i, j in pairs])
+    share = positive / positive.sum()
+    return low, {
+        "n_eigs": len(low), "algebraic_conn": low[1], "spectral_radius": low[-1], "hub_dominance": low[-1] / mean,
+        "bipartiteness": abs(low[-1] - 2 * mean) / mean, "spectral_entropy": -np.sum(share * np.log(share)), "cut_ratio": cut,
+        "eff_resistance": min(n * np.sum(1 / positive), 1e6) / n**2, "mean_spacing": np.diff(low[1:]).mean(),
+    }
+
+
+def test_graph_profile_rests_on_the_twenty_lowest_modes_of_a_dense_solution(spark):
+    rng = np.random.default_rng(5)
+    random_pairs = sorted({(int(i), int(j)) for i, j in rng.integers(0, 90, (420, 2)) if i < j} | {(i, i + 1) for i in range(89)})
+    shapes = {
+        "random": (90, random_pairs), "path": (40, [(i, i + 1) for i in range(39)]), "wheel": (21, [(0, i) for i in range(1, 21)] + [(i, i + 1) for i in range(1, 20)]),
+        "small": (5, [(0, 1), (1, 2), (2, 3), (3, 4), (0, 2)]),
+    }
+    rows = [(g, u, v) for g, (_, pairs) in shapes.items() for i, j in pairs for u, v in ((i, j), (j, i))]
+    edges = graphs.checkpointed(spark.createDataFrame(rows, "graph_id string, src long, dst long"))
+    spectrum = {r.graph_id: r for r in graphs.laplacian_modes(edges)[0].collect()}
+    profile = {r.graph_id: r for r in graph.graph_profile(edges).collect()}
+    assert set(profile) == set(shapes)
+    for g, (n, pairs) in shapes.items():
+        values, features = _dense_graph_features(n, pairs)
+        assert np.allclose(spectrum[g]["values"], values[1:], atol=1e-6), g
+        assert spectrum[g].complete == (n <= 20)
+        for name, want in features.items():
+            assert abs(profile[g][name] - want) < 1e-5, (g, name)
+
+
+def test_resistance_stays_in_the_component_and_is_null_across(spark):
+    edges = graphs.checkpointed(_path_and_star(spark))
+    pairs = spark.createDataFrame([("two", 0, 1), ("two", 0, 3), ("two", 2, 3)], "graph_id string, a long, b long")
+    got = {(r.a, r.b): r.resistance for r in graphs.effective_resistance(edges, pairs).collect()}
+    assert abs(got[0, 1] - 1) < 1e-6 and abs(got[2, 3] - 1) < 1e-6 and got[0, 3] is None
+    with pytest.raises(RuntimeError):
+        graphs.effective_resistance(edges, spark.createDataFrame([("path", 0, 9)], pairs.schema), max_steps=2)
