@@ -187,9 +187,13 @@ def find_peaks(
 ) -> DataFrame:
     """Peaks of every series; thresholds may be columns of df listed in ``keep``.
 
-    ``length`` states that no series is longer by construction (fixed grids, arrays of one row).
+    ``length`` states that no series is longer by construction (fixed grids, arrays of one row);
+    a position beyond it stops the job.
     """
     bounded = length is not None
+    if bounded:
+        fits = F.col(pos) < length
+        df = df.withColumn(pos, F.when(fits, F.col(pos)).otherwise(F.raise_error(F.lit(f"a series is longer than the declared {length}"))))
     peaks = local_maxima(df, keys, pos, value, keep, bounded)
     if height is not None:
         peaks = peaks.where(F.col(value) >= height)

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from spectrafold.operators.blocks import dense_index
 
 VOID_TAGS = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
-SIEVE_FROM = 20_000
+# the limit of a prime table that one task numbers
+ONE_TASK = 20_000
 TRIAL_BELOW = 1_000_000
 STRONG_BASES = (2, 3, 5, 7, 11, 13, 17, 19, 23, 29, 31, 37)
 
@@ -21,20 +22,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def prime_table(spark: SparkSession, max_p: int) -> DataFrame:
     """(k, p, ln_p) for all primes up to max_p.
 
-    Small limits test divisors inline; larger ones strike out multiples with an anti join.
+    Every number is tested inside its row, so nothing is shuffled before the numbering.
     """
-    numbers = spark.range(2, max_p + 1).withColumnRenamed("id", "p")
-    if max_p <= SIEVE_FROM:
-        primes = numbers.where(is_prime("p")).coalesce(1)
-    else:
-        root = int(max_p**0.5)
-        struck = (
-            spark.range(2, root + 1)
-            .select(F.explode(F.sequence(F.col("id") * F.col("id"), F.lit(max_p).cast("long"), F.col("id"))).alias("p"))
-            .distinct()
-        )
-        primes = numbers.join(struck, "p", "left_anti")
-    ranked = dense_index(primes.withColumn("_all", F.lit(0)), ["_all"], ["p"], "k", bounded=max_p <= SIEVE_FROM)
+    primes = spark.range(2, max_p + 1).withColumnRenamed("id", "p").where(is_prime("p"))
+    ranked = dense_index(primes.withColumn("_all", F.lit(0)), ["_all"], ["p"], "k", bounded=max_p <= ONE_TASK)
     return ranked.select((F.col("k") + 1).cast("int").alias("k"), "p", F.ln(F.col("p").cast("double")).alias("ln_p"))
 
 

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from spectrafold.operators import peaks
@@ -46,3 +47,9 @@ def test_height_and_prominence_thresholds_are_inclusive(spark):
     df = spark.createDataFrame([(0, i, v) for i, v in enumerate([0.0, 2.0, 1.0, 3.0, 0.0])], "g long, pos long, v double")
     found = peaks.find_peaks(df, ["g"], "pos", "v", height=F.lit(2.0), prominence=F.lit(1.0), length=5)
     assert {(r.pos, r.prominence) for r in found.collect()} == {(1, 1.0), (3, 3.0)}
+
+
+def test_a_series_longer_than_declared_stops_the_job(spark):
+    df = spark.createDataFrame([("a", i, float(i % 7)) for i in range(50)], "g string, pos long, v double")
+    with pytest.raises(Exception, match="longer than the declared"):
+        peaks.find_peaks(df, ["g"], "pos", "v", prominence=F.lit(1.0), length=20).collect()
