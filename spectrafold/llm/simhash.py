@@ -109,7 +109,11 @@ def representatives(docs: DataFrame, words: int = 3, radius: int = RADIUS) -> Da
 
     Of rows that repeat the id, the first by text stays; rows without an id stay.
     """
-    groups = near_duplicates(docs, words, radius).where("doc_id = component_id").select("doc_id").distinct()
+    return one_of_each(docs, near_duplicates(docs, words, radius).where("doc_id = component_id").select("doc_id").distinct())
+
+
+def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of docs with an id of groups, one for each id, the first by text; and the rows without an id."""
     kept = docs.join(groups, "doc_id", "left_semi")
     once = kept.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.struct("text", F.xxhash64(*docs.columns))).alias("row")).select("row.*")
     return once.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))

@@ -240,3 +240,44 @@ def test_pipeline_stages_keep_the_columns_of_documents(spark):
         docs = stage(spark, docs, SF)
         assert docs.columns == before.columns, name
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() >= 60
+
+
+def shingles(text):
+    w = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
+    return {tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_pipeline_near_duplicates_are_exact(spark, docs):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    base = prose(11, 200).split()
+    texts = []
+    for n in range(60):  # copies with 0 to 5 other words, and others with so many that they stay
+        words = list(base) if n < 40 else prose(50 + n, 90).split() + base[:60]
+        for at in rng.sample(range(len(words)), rng.randrange(6)):
+            words[at] = f"w{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    texts += ["", "  ", "a b", "a  B", "a b c"]
+    frame = spark.createDataFrame(list(enumerate(texts)) + [(None, texts[0]), (3, texts[3])], "doc_id long, text string").repartition(3)
+    own = [shingles(t) for t in texts]
+    link = [(a, b) for a in range(len(own)) for b in range(a) if jaccard(own[a], own[b]) >= 0.8]
+    kept = [r.doc_id for r in corpus_pipeline.keep_one_of_each_group(spark, frame, SF).collect()]
+    assert kept.count(None) == 1 and sorted(k for k in kept if k is not None) == sorted(set(groups(range(len(own)), link).values()))
+    # more than the two bits of op1 apart
+    prints = [simhash.simhash(t, 3) for t in texts]
+    assert any(((prints[a] ^ prints[b]) & (1 << 64) - 1).bit_count() > 2 for a, b in link)
+
+
+def test_forest_over_many_tiles(spark, monkeypatch):
+    from spectrafold.llm import near
+
+    monkeypatch.setattr(near, "TILE", 4)
+    base = [f"w{k}" for k in range(300)]
+    texts = [" ".join(base[k:k + 200]) for k in range(0, 100, 4)]  # each links with its neighbours alone
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert [r.doc_id for r in near.representatives(frame).collect()] == [0]
