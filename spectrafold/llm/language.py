@@ -54,9 +54,8 @@ def hashed_grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(row of the text, bucket) of every n-gram that holds a letter, block by block."""
     table = _fold_table()
     for parts, rows, owned in _pieces(texts):
-        points = table[np.frombuffer(" ".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        points = table[np.frombuffer(" ".join([*parts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)]
         lengths = np.array([len(p) + 1 for p in parts])
-        lengths[-1] -= 1
         piece = np.repeat(np.arange(len(parts)), lengths)
         local = np.arange(len(points)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         starts = local < np.array(owned)[piece]
@@ -67,7 +66,7 @@ def hashed_grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             code = code[:-1] * np.uint32(0x01000193) + points[n - 1:]
             letter = letter[:-1] | (points[n - 1:] != 32)
             if n in ORDERS:
-                # the space after a text is its end; a gram that goes on into the next text is none
+                # the space after a text, the last one too, is its end; a gram that goes on into the next text is none
                 good = letter & starts[: len(code)] & (piece[n - 1:] == piece[: len(code)])
                 mixed = code[good]
                 mixed = (mixed ^ (mixed >> np.uint32(15))) * np.uint32(0x2C1B3C6D) + np.uint32(n)

@@ -281,3 +281,13 @@ def test_forest_over_many_tiles(spark, monkeypatch):
     texts = [" ".join(base[k:k + 200]) for k in range(0, 100, 4)]  # each links with its neighbours alone
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     assert [r.doc_id for r in near.representatives(frame).collect()] == [0]
+
+
+def test_language_does_not_depend_on_the_place_in_a_batch(docs):
+    model = language.fit(docs)
+    texts = ["a", prose(5, 30), "b c", "x" * 5]
+    alone = [language._guess(model, [t]) for t in texts]
+    for order in ([0, 1, 2, 3], [3, 2, 1, 0], [1, 3, 0, 2]):
+        names, sure = language._guess(model, [texts[k] for k in order])
+        assert names == [alone[k][0][0] for k in order] and "und" not in names
+        assert sure == pytest.approx([alone[k][1][0] for k in order], abs=1e-12)
