@@ -291,3 +291,11 @@ def test_language_does_not_depend_on_the_place_in_a_batch(docs):
         names, sure = language._guess(model, [texts[k] for k in order])
         assert names == [alone[k][0][0] for k in order] and "und" not in names
         assert sure == pytest.approx([alone[k][1][0] for k in order], abs=1e-12)
+
+
+def test_repeated_lines_of_long_texts():
+    lines = [f"line {k}" for k in range(150_000)]
+    at = 14 + 7  # after the shares and the word features
+    assert quality.features("\n".join(lines + lines[120_000:]))[at] == pytest.approx(30_000 / 180_000)
+    assert quality.features("\n".join(["x y " * 30_000] * 3))[at] == pytest.approx(2 / 3)
+    assert quality.features("a\na\nb")[at] == pytest.approx(1 / 3)
