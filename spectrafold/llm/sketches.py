@@ -1,4 +1,4 @@
-"""Document fingerprints: sketches that keep every shingle hash below a fixed fraction of the hash range."""
+"""Document fingerprints: sketches that keep every shingle hash."""
 
 from __future__ import annotations
 
@@ -13,10 +13,9 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 WORDS = 5
-FRACTION = 1 / 8
 HASH_BITS = 48
-LIMIT = int(FRACTION * 2**HASH_BITS)
 SEGMENT_WORDS = 1 << 16
+FLUSH = 16 << 20
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -48,19 +47,13 @@ def shingle_hashes(text: str, words: int, seed: int = 42) -> Iterator[np.ndarray
 
 
 def sketch(text: str) -> np.ndarray:
-    """Sorted distinct hashes below LIMIT; a text with words whose hashes are all above keeps its smallest.
+    """Sorted distinct hashes of all shingles.
 
-    Sketches of parts merge by union, and the share of one sketch found in another estimates containment
-    however unequal the documents are.
+    Sketches of parts merge by union, and the share of one sketch found in another is the containment of its
+    shingles, however short or unequal the documents are.
     """
-    kept, least = [], None
-    for block in shingle_hashes(text, WORDS):
-        block = block >> np.uint64(64 - HASH_BITS)
-        low = block.min()
-        least = low if least is None else min(least, low)
-        kept.append(np.unique(block[block < LIMIT]))
-    out = np.unique(np.concatenate(kept)) if kept else np.zeros(0, np.uint64)
-    return out if len(out) or least is None else np.array([least], np.uint64)
+    kept = [np.unique(block >> np.uint64(64 - HASH_BITS)) for block in shingle_hashes(text, WORDS)]
+    return np.unique(np.concatenate(kept)) if kept else np.zeros(0, np.uint64)
 
 
 def text_of(hashes: np.ndarray) -> str:
@@ -105,9 +98,13 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         kind = batch.schema.field("doc_id").type
         types = [kind, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+
+        def table(rows: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 7, types)], names)
+
+        rows, size = [], 0
         for at in range(0, batch.num_rows, 512):
             piece = batch.slice(at, 512)
-            rows = []
             for part, guard, doc_id, text in zip(*(piece.column(c).to_pylist() for c in ("part", "guard", "doc_id", "text"))):
                 now = (part, guard, doc_id, text or "", sketch(text or ""))
                 if last is not None and last[0] == part and not last[1]:
@@ -116,8 +113,12 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     edited = old[: len(old) - cut] + now[3][:cut]
                     other = sketch(edited)
                     rows.append((last[2], len(old), hashlib.sha256(edited.encode()).hexdigest(), text_of(own), text_of(other), likeness(own, other), likeness(own, now[4])))
+                    size += len(rows[-1][3]) + len(rows[-1][4])
+                    if size > FLUSH:
+                        yield table(rows)
+                        rows, size = [], 0
                 last = now
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 7, types)], names)
+        yield table(rows)
 
 
 def compare_with_edits(docs: DataFrame) -> DataFrame:

@@ -299,3 +299,16 @@ def test_repeated_lines_of_long_texts():
     assert quality.features("\n".join(lines + lines[120_000:]))[at] == pytest.approx(30_000 / 180_000)
     assert quality.features("\n".join(["x y " * 30_000] * 3))[at] == pytest.approx(2 / 3)
     assert quality.features("a\na\nb")[at] == pytest.approx(1 / 3)
+
+
+def test_sketches_of_short_texts_and_passages():
+    words = prose(21, 400).split()
+    whole = sketches.sketch(" ".join(words))
+    for n in (5, 6, 10, 15, 30):
+        for at in range(0, 360, 12):
+            passage = words[at:at + n]
+            assert sketches.likeness(sketches.sketch(" ".join(passage)), whole) == 1.0
+            edited = passage[:-1] + ["other"]
+            a, b = shingles(" ".join(passage)), shingles(" ".join(edited))
+            got = sketches.likeness(sketches.sketch(" ".join(passage)), sketches.sketch(" ".join(edited)))
+            assert got == pytest.approx(len(a & b) / min(len(a), len(b)))
