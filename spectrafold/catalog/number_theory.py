@@ -5,48 +5,57 @@ from pyspark.sql import functions as F
 from spectrafold.catalog.registry import query
 from spectrafold.catalog.sqltext import POINTS, RATIONALS, SERIES, primes, with_
 from spectrafold.functions.fixed import ZETA_ZEROS
-from spectrafold.operators import euler as terms, fits, quotients
+from spectrafold.operators import fits, quotients
 from spectrafold.operators.blocks import consecutive_pairs
 from spectrafold.plans import curves, euler, quotient
 from spectrafold.sources import driver, tables as t
 
 ORD2 = """ord(p, k, power) AS (SELECT p, 1, CAST(2 % p AS BIGINT) FROM primes WHERE p > 2 AND k <= 40 UNION ALL SELECT p, k + 1, power * 2 % p FROM ord WHERE power <> 1),
   ordr AS (SELECT p, max(k) / CAST(p - 1 AS DOUBLE) AS r FROM ord GROUP BY p)"""
-ZETA_CHANNELS = """tab AS (SELECT k, primes.p, ln_p, 1.0::DOUBLE AS coef, CASE WHEN primes.p = 2 THEN 0.0::DOUBLE ELSE round(log2((primes.p - 1) & -(primes.p - 1))) END AS c1,
+#: The coefficient table of zeta, and of three L-functions at once.
+ZETA_CHANNELS = """tab AS (SELECT 'zeta' AS lfunc, 1 AS degree, k, primes.p, ln_p, 1.0::DOUBLE AS coef, CASE WHEN primes.p = 2 THEN 0.0::DOUBLE ELSE round(log2((primes.p - 1) & -(primes.p - 1))) END AS c1,
     coalesce(r, 0) AS c2, lead(ln_p) OVER (ORDER BY k) AS ln_n FROM primes LEFT JOIN ordr ON ordr.p = primes.p WHERE k <= 40)"""
-CHI_CHANNELS = """tab AS (SELECT k, p, ln_p, CASE p % 4 WHEN 1 THEN 1.0::DOUBLE WHEN 3 THEN -1.0::DOUBLE ELSE 0.0::DOUBLE END AS coef,
+CHI_CHANNELS = """tab AS (SELECT 'chi4' AS lfunc, 1 AS degree, k, p, ln_p, CASE p % 4 WHEN 1 THEN 1.0::DOUBLE WHEN 3 THEN -1.0::DOUBLE ELSE 0.0::DOUBLE END AS coef,
     CASE p % 4 WHEN 1 THEN 1.0::DOUBLE WHEN 3 THEN -1.0::DOUBLE ELSE 0.0::DOUBLE END AS c1, CAST(p % 4 AS DOUBLE) AS c2, lead(ln_p) OVER (ORDER BY k) AS ln_n FROM primes WHERE k <= 40)"""
+CURVE_CHANNELS = """hits AS (SELECT k, count(*) FILTER (y * y % p = (x * x * x - x + 1 + p) % p) AS n FROM primes, (SELECT unnest(range(174)) AS x) u, (SELECT unnest(range(174)) AS y) v WHERE k <= 40 AND x < p AND y < p GROUP BY 1),
+  tab AS (SELECT 'curve' AS lfunc, 2 AS degree, k, p, ln_p, CASE WHEN p IN (2, 3, 23) THEN 0.0::DOUBLE ELSE CAST(p - n AS DOUBLE) END AS coef,
+    CASE WHEN p IN (2, 3, 23) THEN 0.0::DOUBLE ELSE CAST(p - n AS DOUBLE) END AS c1, CASE WHEN p IN (2, 3, 23) THEN 0.0::DOUBLE ELSE (p - n) / (2 * sqrt(p)) END AS c2, lead(ln_p) OVER (ORDER BY k) AS ln_n FROM primes JOIN hits USING (k))"""
+ALL_CHANNELS = ", ".join(c.replace("tab AS", f"tab_{n} AS") for n, c in enumerate((ZETA_CHANNELS, CHI_CHANNELS, CURVE_CHANNELS))) + """,
+  tab AS (SELECT * FROM tab_0 UNION ALL SELECT * FROM tab_1 UNION ALL SELECT * FROM tab_2)"""
 
 
 def _deriv(part, s, t_):
     zr, zi = f"(exp(-({s}) * ln_p) * cos(({t_}) * ln_p))", f"(-exp(-({s}) * ln_p) * sin(({t_}) * ln_p))"
-    den = f"((1 - coef * {zr}) ^ 2 + (coef * {zi}) ^ 2)"
-    if part == "re":
-        return f"sum(ln_p * (coef * {zr} * (1 - coef * {zr}) - coef * coef * {zi} * {zi}) / {den})"
-    return f"sum(ln_p * coef * {zi} / {den})"
+    # numerator over denominator: c z / (1 - c z), in degree 2 (c z - 2 p z^2) / (1 - c z + p z^2)
+    two = "CASE degree WHEN 2 THEN p ELSE 0 END"
+    sr, si = f"({zr} * {zr} - {zi} * {zi})", f"(2 * {zr} * {zi})"
+    nr, ni = f"(coef * {zr} - 2 * {two} * {sr})", f"(coef * {zi} - 2 * {two} * {si})"
+    dr, di = f"(1 - coef * {zr} + {two} * {sr})", f"({two} * {si} - coef * {zi})"
+    top = f"({nr} * {dr} + {ni} * {di})" if part == "re" else f"({ni} * {dr} - {nr} * {di})"
+    return f"sum(ln_p * {top} / ({dr} ^ 2 + {di} ^ 2))"
 
 
-def _atlas_sql(channels):
+def _atlas_sql(channels, points=POINTS, key="* EXCLUDE (lfunc)"):
     v = lambda n, s, t_: f"-ln(sqrt({_deriv('re', s, t_)} ^ 2 + {_deriv('im', s, t_)} ^ 2) + 1e-300) AS v_{n}"
     arg = lambda n, t_: f"sum(tap * atan2(exp(-sigma * ln_p) * sin(({t_}) * ln_p), 1 - exp(-sigma * ln_p) * cos(({t_}) * ln_p))) AS arg_{n}"
     rank = lambda e, part: f"rank() OVER (PARTITION BY {part} ORDER BY {e}) + (count(*) OVER (PARTITION BY {part}, {e}) - 1) / 2.0::DOUBLE"
     guarded = lambda a, b: f"CASE WHEN stddev_pop({a}) <= 1e-10 OR stddev_pop({b}) <= 1e-10 THEN 0 ELSE abs(corr({a}, {b})) END"
-    return with_(primes(1500), ORD2, channels, POINTS, f"""kk AS (SELECT unnest(range(1, 41)) AS kmax),
-  ra AS (SELECT kmax, k, {rank('c1', 'kmax')} AS ra1, {rank('c2', 'kmax')} AS ra2 FROM tab JOIN kk ON k <= kmax),
-  ab AS (SELECT kmax, greatest({guarded('ra1', 'k')}, {guarded('ra2', 'k')}) AS ortho_AB FROM ra GROUP BY 1),
-  tm0 AS (SELECT point_id, sigma, t, kmax, k, p, ln_p, ln_n, coef, ra1, ra2, cos(t * ln_p) AS c, sin(t * ln_p) AS s, exp(-pi() * ((k - 1) / CAST(kmax AS DOUBLE)) ^ 2) AS tap,
-      exp(-sigma * ln_p) / sum(exp(-sigma * ln_p)) OVER (PARTITION BY point_id ORDER BY k) AS b FROM points JOIN tab ON k <= kmax JOIN ra USING (kmax, k)),
-  tm AS (SELECT *, {rank('c', 'point_id')} AS rc, {rank('s', 'point_id')} AS rs, b / (1 + b) AS fb, exp(-sigma * (ln_p + ln_n)) AS w, exp(-sigma * ln_p) AS r, sqrt(ln_p) * exp(-0.25 * ln_p) AS st FROM tm0),
-  ag AS (SELECT point_id, sigma, t, kmax, {v('c', 'sigma', 't')}, {v('sp', 'sigma + 0.003', 't')}, {v('sm', 'sigma - 0.003', 't')}, {v('tp', 'sigma', 't + 0.003')}, {v('tm', 'sigma', 't - 0.003')},
+    return with_(primes(1500), ORD2, channels, points, f"""kk AS (SELECT unnest(range(1, 41)) AS kmax),
+  ra AS (SELECT lfunc, kmax, k, {rank('c1', 'lfunc, kmax')} AS ra1, {rank('c2', 'lfunc, kmax')} AS ra2 FROM tab JOIN kk ON k <= kmax),
+  ab AS (SELECT lfunc, kmax, greatest({guarded('ra1', 'k')}, {guarded('ra2', 'k')}) AS ortho_AB FROM ra GROUP BY 1, 2),
+  tm0 AS (SELECT lfunc, degree, point_id, sigma, t, kmax, k, p, ln_p, ln_n, coef, ra1, ra2, cos(t * ln_p) AS c, sin(t * ln_p) AS s, exp(-pi() * ((k - 1) / CAST(kmax AS DOUBLE)) ^ 2) AS tap,
+      exp(-sigma * ln_p) / sum(exp(-sigma * ln_p)) OVER (PARTITION BY lfunc, point_id ORDER BY k) AS b FROM points JOIN tab ON k <= kmax JOIN ra USING (lfunc, kmax, k)),
+  tm AS (SELECT *, {rank('c', 'lfunc, point_id')} AS rc, {rank('s', 'lfunc, point_id')} AS rs, b / (1 + b) AS fb, exp(-sigma * (ln_p + ln_n)) AS w, exp(-sigma * ln_p) AS r, sqrt(ln_p) * exp(-0.25 * ln_p) AS st FROM tm0),
+  ag AS (SELECT lfunc, point_id, sigma, t, kmax, {v('c', 'sigma', 't')}, {v('sp', 'sigma + 0.003', 't')}, {v('sm', 'sigma - 0.003', 't')}, {v('tp', 'sigma', 't + 0.003')}, {v('tm', 'sigma', 't - 0.003')},
       {arg('0', 't')}, {arg('p', 't + 0.01')}, {arg('m', 't - 0.01')}, sum(w * (1.5 + r * c) * cos(t * ln_n)) / sum(w) AS x, sum(w * (1.5 + r * c) * sin(t * ln_n)) / sum(w) AS y, sum(w * r * s) / sum(w) AS z,
       sum((st * c) ^ 2) AS uu, sum(st * st * s * c) AS uv, sum((st * s) ^ 2) AS vv, avg(fb) AS fb_mean, max(fb) AS fb_max, regr_slope(ln(fb + 1e-15), ln(k)) AS fb_decay, avg(c) AS phase_cos, avg(s) AS phase_sin,
-      greatest({guarded('ra1', 'rc')}, {guarded('ra1', 'rs')}, {guarded('ra2', 'rc')}, {guarded('ra2', 'rs')}) AS ortho_AC, greatest({guarded('k', 'rc')}, {guarded('k', 'rs')}) AS ortho_BC FROM tm GROUP BY 1, 2, 3, 4),
-  f AS (SELECT point_id, sigma, t, CAST(kmax AS DOUBLE) AS K, sqrt(x * x + y * y + z * z) AS torus_radius, sqrt(x * x + y * y) AS torus_xy, abs(z) AS torus_z, abs(z) / (sqrt(x * x + y * y) + 1e-15) AS torus_z_xy_ratio,
+      greatest({guarded('ra1', 'rc')}, {guarded('ra1', 'rs')}, {guarded('ra2', 'rc')}, {guarded('ra2', 'rs')}) AS ortho_AC, greatest({guarded('k', 'rc')}, {guarded('k', 'rs')}) AS ortho_BC FROM tm GROUP BY 1, 2, 3, 4, 5),
+  f AS (SELECT lfunc, point_id, sigma, t, CAST(kmax AS DOUBLE) AS K, sqrt(x * x + y * y + z * z) AS torus_radius, sqrt(x * x + y * y) AS torus_xy, abs(z) AS torus_z, abs(z) / (sqrt(x * x + y * y) + 1e-15) AS torus_z_xy_ratio,
       v_c AS V, (v_sp - v_sm) / 0.006 AS grad_sigma, (v_tp - v_tm) / 0.006 AS grad_t, sqrt(((v_sp - v_sm) / 0.006) ^ 2 + ((v_tp - v_tm) / 0.006) ^ 2) AS grad_mag,
       (v_sp - 2 * v_c + v_sm) / 9e-6 + (v_tp - 2 * v_c + v_tm) / 9e-6 AS laplacian, 0.0 AS weil_lambda_min, 0.0 AS weil_lambda_2, 0.0 AS weil_gap, 0.0 AS weil_lambda_max, 0.0 AS weil_trace, fb_mean, fb_max, fb_decay,
       phase_cos, phase_sin, sqrt(phase_cos ^ 2 + phase_sin ^ 2) AS phase_coherence, ortho_AB, ortho_AC, ortho_BC, arg_0 AS euler_arg, (arg_p - arg_m) / 0.02 AS euler_darg_dt,
-      (uu + vv + sqrt((uu - vv) ^ 2 + 4 * uv * uv)) / 2 AS mu1, (uu + vv - sqrt((uu - vv) ^ 2 + 4 * uv * uv)) / 2 AS mu2 FROM ag JOIN ab USING (kmax))""", recursive=True) + """
-  SELECT *, abs(laplacian) / (abs(V) + 1e-15) AS harmonicity, torus_radius / (1 + torus_radius) AS poincare_r, 1 - torus_radius / (1 + torus_radius) AS poincare_gap FROM f"""
+      (uu + vv + sqrt((uu - vv) ^ 2 + 4 * uv * uv)) / 2 AS mu1, (uu + vv - sqrt((uu - vv) ^ 2 + 4 * uv * uv)) / 2 AS mu2 FROM ag JOIN ab USING (lfunc, kmax))""", recursive=True) + f"""
+  SELECT {key}, abs(laplacian) / (abs(V) + 1e-15) AS harmonicity, torus_radius / (1 + torus_radius) AS poincare_r, 1 - torus_radius / (1 + torus_radius) AS poincare_gap FROM f"""
 
 
 # second differences divide rounding noise by 9e-6, so these two are compared at three decimals
@@ -67,22 +76,31 @@ def euler_atlas(spark, d):
     return _coarse(euler.euler_atlas(driver.parameter_points(spark, d), table, 40))
 
 
+def _three_functions(spark):
+    """Coefficient rows of zeta, the character modulo 4 and the curve y^2 = x^3 - x + 1."""
+    primes_ = t.prime_table(spark, 500)
+    chi = spark.createDataFrame([("chi4", 4, 1, 1.0), ("chi4", 4, 3, -1.0)], "lfunc string, modulus int, residue long, coef double")
+    curve = spark.createDataFrame([("curve", -1, 1)], "lfunc string, a long, b long")
+    rows = euler.constant_coefficients(primes_).union(euler.character_rows(primes_, chi)).union(euler.curve_rows(primes_, curve))
+    return euler.coefficient_table(rows, primes_)
+
+
 @query(_coarse_sql(_atlas_sql(CHI_CHANNELS)), _ATLAS_FLOATS)
 def character_atlas(spark, d):
-    chi = spark.createDataFrame([(1, 1.0), (3, -1.0)], "residue long, coef double")
-    table = euler.character_table(terms.character_coefficients(t.prime_table(spark, 1500), chi, 4), 4)
-    return _coarse(euler.euler_atlas(driver.parameter_points(spark, d), table, 40))
+    return _coarse(euler.euler_atlas(driver.parameter_points(spark, d), _three_functions(spark).where("lfunc = 'chi4'"), 40))
 
 
-@query()
+@query(_coarse_sql(_atlas_sql(CURVE_CHANNELS)), _ATLAS_FLOATS)
 def curve_atlas(spark, d):
-    """Atlas of the curve y^2 = x^3 - x + 1 with point counts over every prime; bad primes get 0."""
-    table = t.prime_table(spark, 500)
-    fields = table.select(F.lit(-1).cast("long").alias("a"), F.lit(1).cast("long").alias("b"), "p")
-    counted = curves.curve_orders(fields).select("p", (F.col("p") + 1 - F.col("n_points")).cast("double").alias("ap"))
-    bad = (F.col("p") <= 3) | (F.pmod(F.lit(-16 * (4 * -1 + 27)), F.col("p")) == 0)
-    table = table.join(counted, "p").select("k", "p", "ln_p", F.when(bad, 0.0).otherwise(F.col("ap")).alias("coef"))
-    return _coarse(euler.euler_atlas(driver.parameter_points(spark, d), euler.curve_table(table), 40, curve=True))
+    """Point counts over every prime; bad primes get 0."""
+    return _coarse(euler.euler_atlas(driver.parameter_points(spark, d), _three_functions(spark).where("lfunc = 'curve'"), 40))
+
+
+@query(_coarse_sql(_atlas_sql(ALL_CHANNELS, key="*")), _ATLAS_FLOATS)
+def lfunc_atlas(spark, d):
+    """Every part's point under three L-functions, in one job over one coefficient table."""
+    names = F.explode(F.array(*map(F.lit, ("zeta", "chi4", "curve")))).alias("lfunc")
+    return _coarse(euler.lfunc_atlas(driver.parameter_points(spark, d).select("*", names), _three_functions(spark), 40))
 
 
 SCALES_SQL = with_(primes(1500), POINTS, """nx AS (SELECT k, p, ln_p, lead(ln_p) OVER (ORDER BY k) AS ln_n FROM primes),
@@ -251,6 +269,16 @@ def weighted_residuals(spark, d):
     return euler.weighted_residual(_weights(spark, d), t.prime_table(spark, 1500), targets)
 
 
+@query(with_(SERIES, primes(1500), ORD2, ALL_CHANNELS, WEIGHTS, ZEROS, "z AS (SELECT lfunc, run_id, 0.75::DOUBLE AS sigma, t, theta, ln_p, p, coef, degree FROM weights JOIN tab USING (k), zeros)", f"""
+  s AS (SELECT lfunc, run_id, sigma, t, {_deriv('re', 'sigma', 't').replace('sum(', 'sum(theta * ', 1)} AS a, {_deriv('im', 'sigma', 't').replace('sum(', 'sum(theta * ', 1)} AS b FROM z GROUP BY 1, 2, 3, 4)""", recursive=True) +
+       "SELECT lfunc, run_id, sigma, t, sqrt(a * a + b * b) AS residual, a * a + b * b AS squared FROM s", "sigma t residual squared")
+def lfunc_residuals(spark, d):
+    """Residual of every label's mean weights at the first ten zeros, under three L-functions."""
+    targets = spark.createDataFrame([(0.75, z) for z in ZETA_ZEROS], "sigma double, t double")
+    names = F.explode(F.array(*map(F.lit, ("zeta", "chi4", "curve")))).alias("lfunc")
+    return euler.lfunc_residual(_weights(spark, d).select("*", names), _three_functions(spark), targets)
+
+
 def _sp(e, part="run_id"):
     return f"rank() OVER (PARTITION BY {part} ORDER BY {e}) + (count(*) OVER (PARTITION BY {part}, {e}) - 1) / 2.0::DOUBLE"
 

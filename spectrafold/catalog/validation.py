@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from spectrafold.catalog.registry import query
+from spectrafold.catalog.number_theory import ZETA_CHANNELS, _atlas_sql
 from spectrafold.catalog.sqltext import SERIES, with_
 from spectrafold.catalog.waves import CASCADE, CASCADE_SELECT
 from spectrafold.functions import stats
@@ -38,7 +39,11 @@ def proxy_screen(spark, d):
     return validation.proxy_screen(_moments(spark, d), "series_id", ["std", "kurt", "peak"], ["span", "label"])
 
 
-@query()
+@query(with_(SERIES, """turns AS (SELECT series_id, r, value, lead(value) OVER (PARTITION BY series_id, r ORDER BY CASE WHEN r = 0 THEN '' ELSE md5('5,' || r || ',' || pos) END, pos) AS nx
+    FROM series, (SELECT unnest(range(21)) AS r) q),
+  each AS (SELECT series_id, r, CASE WHEN stddev_pop(value) <= 1e-10 OR stddev_pop(nx) <= 1e-10 THEN 0 ELSE coalesce(corr(value, nx), 0) END AS s FROM turns GROUP BY 1, 2),
+  g AS (SELECT series_id, max(s) FILTER (r = 0) AS observed, avg(s) FILTER (r > 0) AS baseline_mean, stddev_pop(s) FILTER (r > 0) AS baseline_std FROM each GROUP BY 1)""") +
+       "SELECT *, (observed - baseline_mean) / baseline_std AS z, abs((observed - baseline_mean) / baseline_std) >= 2 AS signal FROM g", "observed baseline_mean baseline_std z")
 def permutation_baseline(spark, d):
     series = driver.embedding_series(spark, d).select("series_id", "pos", "value")
     return validation.permutation_baseline(series, "series_id", "pos", "value", lambda x, y: guarded_corr(x, y))
@@ -66,13 +71,19 @@ def feature_completeness(spark, d):
     return validation.completeness(_moments(spark, d), NAMES)
 
 
-@query()
+_ATLAS_KS = """points AS (SELECT p_partkey * 100 + k AS point_id, 0.4 + p_size / 100.0::DOUBLE AS sigma, p_retailprice / 40.0::DOUBLE AS t, k AS kmax
+    FROM part, (SELECT unnest([15, 20, 25, 30]) AS k) ks)"""
+_STABLE = ("torus_radius", "V", "fb_mean", "phase_coherence", "euler_arg")
+
+
+@query("SELECT point, feature, stddev_pop(value) / (abs(avg(value)) + 1e-15) AS cv FROM (UNPIVOT (SELECT point_id // 100 AS point, " + ", ".join(_STABLE) + " FROM (" +
+       _atlas_sql(ZETA_CHANNELS, _ATLAS_KS) + ") a) ON " + ", ".join(_STABLE) + " INTO NAME feature VALUE value) u GROUP BY 1, 2", "cv")
 def atlas_convergence(spark, d):
     """Spread of Euler features of each part's point over K = 15, 20, 25, 30."""
     points = driver.parameter_points(spark, d).withColumn("_k", F.explode(F.array(*[F.lit(k) for k in (15, 20, 25, 30)])))
     points = points.select(F.struct("point_id", "_k").alias("point_id"), "sigma", "t", F.col("_k").alias("kmax"))
     atlas = euler.euler_atlas(points, euler.zeta_table(t.prime_table(spark, 1500)), 30).withColumn("point", F.col("point_id.point_id"))
-    return validation.convergence_cv(atlas, "point", ["torus_radius", "V", "fb_mean", "phase_coherence", "euler_arg"])
+    return validation.convergence_cv(atlas, "point", _STABLE)
 
 
 @query("""SELECT o_orderpriority AS domain, o_orderstatus AS verdict, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderpriority, o_orderstatus)""")

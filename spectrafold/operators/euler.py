@@ -25,9 +25,9 @@ def point_terms(points: DataFrame, primes: DataFrame) -> DataFrame:
     return ks.join(F.broadcast(primes), "k")
 
 
-def envelope(terms: DataFrame) -> DataFrame:
+def envelope(terms: DataFrame, keys: tuple[str, ...] | list[str] = ("point_id",)) -> DataFrame:
     """fb = b / (1 + b) with b = w / running sum of w; a point has kmax rows at most."""
     weight = F.exp(-F.col("sigma") * F.col("ln_p"))
-    upto = W.partitionBy("point_id").orderBy("k").rowsBetween(W.unboundedPreceding, 0)
+    upto = W.partitionBy(*keys).orderBy("k").rowsBetween(W.unboundedPreceding, 0)
     b = F.col("_w") / F.sum("_w").over(upto)
     return terms.withColumn("_w", weight).withColumn("_b", b).withColumn("fb", F.col("_b") / (1 + F.col("_b"))).drop("_w", "_b")

@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from spectrafold.functions import scalar, stats
 from spectrafold.functions.fixed import EPS
-from spectrafold.functions.scalar import log_derivative, prime_power, quadratic_log_derivative
+from spectrafold.functions.scalar import prime_power, quadratic_log_derivative
 from spectrafold.operators.blocks import halo_window
 from spectrafold.operators.euler import envelope, point_terms
 from spectrafold.operators.ranks import guarded_corr, quantiles, tied_rank
+from spectrafold.plans.curves import curve_orders
+from spectrafold.session import saved
 
 FEATURES = (
     "sigma t K torus_radius torus_xy torus_z torus_z_xy_ratio V grad_sigma grad_t grad_mag laplacian harmonicity weil_lambda_min "
@@ -21,60 +23,113 @@ FEATURES = (
 STEP, ARG_STEP = 0.003, 0.01
 
 
-def zeta_table(primes: DataFrame) -> DataFrame:
-    """Coefficient 1 and the arithmetic channel (2-adic depth of p - 1, relative order of 2)."""
-    return primes.withColumns({
-        "coef": F.lit(1.0), "channel_1": scalar.valuation2(F.col("p") - 1), "channel_2": scalar.order_ratio("p"),
-    })
+#: The coefficient table of L-functions: a row per function and prime, a gap ends the function's terms.
+COEFFICIENTS = "lfunc string, degree int, modulus int, p long, coef double"
+
+
+def constant_coefficients(primes: DataFrame, lfunc: str = "zeta") -> DataFrame:
+    """COEFFICIENTS of the function whose coefficients are all 1."""
+    return primes.select(F.lit(lfunc).alias("lfunc"), F.lit(1).alias("degree"), F.lit(None).cast("int").alias("modulus"), "p", F.lit(1.0).alias("coef"))
+
+
+def character_rows(primes: DataFrame, values: DataFrame) -> DataFrame:
+    """COEFFICIENTS of characters given as values (lfunc, modulus, residue, coef); residues not listed give 0.
+
+    A character's values are one map, so a prime looks its residue up inside the row.
+    """
+    listed = values.groupBy("lfunc", "modulus").agg(F.map_from_entries(F.collect_list(F.struct(F.col("residue").cast("long"), "coef"))).alias("_of"))
+    rows = _every_prime(listed, primes)
+    coef = F.coalesce(F.try_element_at("_of", F.col("p") % F.col("modulus")), F.lit(0.0))
+    return rows.select("lfunc", F.lit(1).alias("degree"), F.col("modulus").cast("int").alias("modulus"), "p", coef.alias("coef"))
+
+
+def curve_rows(primes: DataFrame, curves: DataFrame) -> DataFrame:
+    """COEFFICIENTS p + 1 - n_points of curves (lfunc, a, b), counted over every prime; 0 where the curve is singular, and at 2 and 3."""
+    rows = _every_prime(curves.select("lfunc", F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")), primes)
+    counted = curve_orders(rows.select(F.pmod("a", "p").alias("a"), F.pmod("b", "p").alias("b"), "p"))
+    counted = counted.select(F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("p").alias("_p"), "n_points")
+    same = (F.pmod("a", "p") == F.col("_a")) & (F.pmod("b", "p") == F.col("_b")) & (F.col("p") == F.col("_p"))
+    bad = (F.col("p") <= 3) | (scalar.discriminant_mod("a", "b", "p") == 0)
+    coef = F.when(bad, 0.0).otherwise((F.col("p") + 1 - F.col("n_points")).cast("double"))
+    return rows.join(counted, same).select("lfunc", F.lit(2).alias("degree"), F.lit(None).cast("int").alias("modulus"), "p", coef.alias("coef"))
+
+
+def _every_prime(functions: DataFrame, primes: DataFrame) -> DataFrame:
+    """Every function once per prime; the primes, fixed by their limit, travel as one array."""
+    listed = primes.groupBy(F.lit(0).alias("_one")).agg(F.collect_list("p").alias("_primes"))
+    return functions.withColumn("_one", F.lit(0)).join(F.broadcast(listed), "_one").withColumn("p", F.explode("_primes")).drop("_one", "_primes")
+
 
+def coefficient_table(coefficients: DataFrame, primes: DataFrame) -> DataFrame:
+    """COEFFICIENTS with k, ln_p, the next prime's logarithm (NULL at the last) and the arithmetic channel; new functions are new rows.
 
-def character_table(primes_with_coef: DataFrame, modulus: int) -> DataFrame:
-    """Channel (chi(p), p mod modulus) for primes that carry coef."""
-    return primes_with_coef.withColumns({"channel_1": F.col("coef"), "channel_2": (F.col("p") % modulus).cast("double")})
+    The channel is (2-adic depth of p - 1, relative order of 2) without a modulus, (coef, p mod modulus) with one, and
+    (coef, coef / 2 sqrt p) in degree 2.
+    """
+    following = primes.select((F.col("k") - 1).alias("k"), F.col("ln_p").alias("ln_next"))
+    rows = coefficients.join(F.broadcast(primes.join(following, "k", "left")), "p")
+    plain = F.col("modulus").isNull() & (F.col("degree") == 1)
+    second = F.when(F.col("degree") == 2, F.col("coef") / (2 * F.sqrt(F.col("p").cast("double"))))
+    second = second.when(plain, scalar.order_ratio("p")).otherwise((F.col("p") % F.col("modulus")).cast("double"))
+    first = F.when(plain, scalar.valuation2(F.col("p") - 1)).otherwise(F.col("coef"))
+    return rows.select("lfunc", "degree", "k", "p", "ln_p", "ln_next", "coef", first.alias("channel_1"), second.alias("channel_2"))
 
 
-def curve_table(primes_with_ap: DataFrame) -> DataFrame:
-    """Channel (a_p, a_p / 2 sqrt p) for primes that carry coef = a_p."""
-    norm = F.col("coef") / (2 * F.sqrt(F.col("p").cast("double")))
-    return primes_with_ap.withColumns({"channel_1": F.col("coef"), "channel_2": norm})
+def _square() -> Column:
+    """The coefficient of z^2 in a local factor 1 - c z + q z^2: p in degree 2, none in degree 1."""
+    return F.when(F.col("degree") == 2, F.col("p").cast("double")).otherwise(0.0)
 
 
-def channel_ranks(table: DataFrame, k_limit: int) -> tuple[DataFrame, DataFrame]:
-    """Ranks of the arithmetic channel among the first K primes for every K, and its correlation with size.
+def zeta_table(primes: DataFrame) -> DataFrame:
+    """The coefficient table of zeta alone."""
+    return coefficient_table(constant_coefficients(primes), primes)
+
 
-    Both depend on K only, so they are worked out once per K (at most k_limit^2 / 2 rows), not per point.
+def channel_ranks(table: DataFrame, k_limit: int) -> DataFrame:
+    """Ranks of the arithmetic channel among the first K primes, for every function and K.
+
+    They depend on function and K only, so they are worked out once (at most k_limit^2 / 2 rows a function), not per point.
     """
     spread = table.where(F.col("k") <= k_limit).withColumn("kmax", F.explode(F.sequence(F.col("k"), F.lit(k_limit))))
-    ranked = spread.select(
-        "kmax", "k", *[tied_rank(["kmax"], f"channel_{i}").alias(f"_ra{i}") for i in (1, 2)]
-    )
-    size = ranked.groupBy("kmax").agg(
-        F.greatest(*[F.abs(guarded_corr(f"_ra{i}", F.col("k").cast("double"))) for i in (1, 2)]).alias("ortho_AB")
-    )
-    return ranked, size
+    return spread.select("lfunc", "kmax", "k", *[tied_rank(["lfunc", "kmax"], f"channel_{i}").alias(f"_ra{i}") for i in (1, 2)])
 
 
-def euler_atlas(points: DataFrame, table: DataFrame, k_limit: int, curve: bool = False) -> DataFrame:
-    """One row per point_id with the 31 features, plus mu1 and mu2 of the interaction matrix.
+def channel_sizes(ranked: DataFrame) -> DataFrame:
+    """(lfunc, kmax, ortho_AB): correlation of the channel with size."""
+    largest = F.greatest(*[F.abs(guarded_corr(f"_ra{i}", F.col("k").cast("double"))) for i in (1, 2)])
+    return ranked.groupBy("lfunc", "kmax").agg(largest.alias("ortho_AB"))
 
-    All ten evaluations of the potential and all three of the phase are sums in one
-    aggregation over points x primes.
+
+def euler_atlas(points: DataFrame, table: DataFrame, k_limit: int) -> DataFrame:
+    """lfunc_atlas for points without lfunc, on the table of a single function."""
+    one = F.lit("one").alias("lfunc")
+    return lfunc_atlas(points.select(one, "*"), table.select(one, *[c for c in table.columns if c != "lfunc"]), k_limit).drop("lfunc")
+
+
+def lfunc_atlas(points: DataFrame, table: DataFrame, k_limit: int) -> DataFrame:
+    """One row per (lfunc, point_id) of points (lfunc, point_id, sigma, t, kmax): 31 features, mu1 and mu2 of the interaction matrix.
+
+    All functions are worked on in one job: their terms are joined by (lfunc, k), and the ten evaluations of the potential
+    and three of the phase are sums in one aggregation over points x primes. The lookup table is written first, so that
+    Spark decides by its size, which grows with the number of functions, whether to broadcast it.
     """
-    following = table.select((F.col("k") - 1).alias("k"), F.col("p").alias("p_next"), F.col("ln_p").alias("ln_next"))
-    ranked, size = channel_ranks(table, k_limit)
-    lookup = table.join(following, "k")
-    # a point beyond the table would lose terms; it stops the job instead of going missing
-    too_long = F.raise_error(F.format_string("kmax %d is above the table's %d terms", F.col("kmax"), F.lit(k_limit))).cast("int")
-    within = F.when(F.col("kmax") > k_limit, too_long).otherwise(F.col("kmax"))
-    terms = envelope(point_terms(points.withColumn("kmax", within), lookup)).join(F.broadcast(ranked), ["kmax", "k"])
+    table = table.where("ln_next IS NOT NULL")
+    ranked = channel_ranks(table, k_limit)
+    lookup = saved(table.join(ranked, ["lfunc", "k"]).join(channel_sizes(ranked), ["lfunc", "kmax"]))
+    rows = points.select("lfunc", "point_id", "sigma", "t", "kmax", F.explode(F.sequence(F.lit(1), F.col("kmax"))).alias("k"))
+    rows = rows.join(lookup, ["lfunc", "kmax", "k"], "left")
+    # a point beyond its function's terms would lose some; it stops the job instead of going missing
+    short = F.raise_error(F.format_string("%s: kmax %d is above the table's terms", F.col("lfunc"), F.col("kmax"))).cast("double")
+    rows = rows.withColumn("ln_p", F.coalesce("ln_p", short))
+    terms = envelope(rows, ["lfunc", "point_id"]).withColumn("_square", _square())
     phase = F.col("t") * F.col("ln_p")
     terms = terms.withColumns({"_cos": F.cos(phase), "_sin": F.sin(phase)})
-    terms = terms.withColumns({"_rc": tied_rank(["point_id"], "_cos"), "_rs": tied_rank(["point_id"], "_sin")})
+    terms = terms.withColumns({"_rc": tied_rank(["lfunc", "point_id"], "_cos"), "_rs": tied_rank(["lfunc", "point_id"], "_sin")})
     aggregates: list[Column] = []
     for name, ds, dt in (("c", 0, 0), ("sp", STEP, 0), ("sm", -STEP, 0), ("tp", 0, STEP), ("tm", 0, -STEP)):
         re, im = prime_power("p", "ln_p", F.col("sigma") + F.lit(float(ds)), F.col("t") + F.lit(float(dt)))
-        dr, di = (quadratic_log_derivative(re, im, "p", "ln_p", "coef") if curve else log_derivative(re, im, "ln_p", "coef"))
-        aggregates += [F.sum(dr).alias(f"_r_{name}"), F.sum(di).alias(f"_i_{name}")]
+        for part, value in zip("ri", quadratic_log_derivative(re, im, "_square", "ln_p", "coef")):
+            aggregates.append(F.sum(value).alias(f"_{part}_{name}"))
     taper = scalar.taper(F.col("k") - 1, "kmax")
     for name, dt in (("0", 0.0), ("p", ARG_STEP), ("m", -ARG_STEP)):
         re, im = prime_power("p", "ln_p", "sigma", F.col("t") + F.lit(dt))
@@ -95,7 +150,7 @@ def euler_atlas(points: DataFrame, table: DataFrame, k_limit: int, curve: bool =
         F.avg("_cos").alias("phase_cos"), F.avg("_sin").alias("phase_sin"),
         F.greatest(against("_ra1"), against("_ra2")).alias("ortho_AC"), against(F.col("k").cast("double")).alias("ortho_BC"),
     ]
-    sums = terms.groupBy("point_id", "sigma", "t", "kmax").agg(*aggregates).join(F.broadcast(size), "kmax")
+    sums = terms.groupBy("lfunc", "point_id", "sigma", "t", "kmax", "ortho_AB").agg(*aggregates)
     return _atlas_features(sums)
 
 
@@ -125,7 +180,7 @@ def _atlas_features(sums: DataFrame) -> DataFrame:
         "weil_trace": F.when(k >= 7, 0.0).when(k == 6, mu2).when(k == 1, mu1).otherwise(mu1 + mu2),
         "poincare_r": scalar.compactified("torus_radius"), "poincare_gap": 1 - scalar.compactified("torus_radius"),
     })
-    return table.select("point_id", *FEATURES, "mu1", "mu2")
+    return table.select("lfunc", "point_id", *FEATURES, "mu1", "mu2")
 
 
 SCALE_FEATURES = ("drift_rate", "spiral_alpha", "coherence_N", "drift_x", "drift_y", "drift_z", "final_dev_mag", "median_cos")
@@ -256,18 +311,26 @@ def valley_refine(spark: SparkSession, candidates: DataFrame, rounds: int = 6, r
 
 
 def weighted_residual(weights: DataFrame, primes: DataFrame, targets: DataFrame) -> DataFrame:
-    """(run_id, sigma, t, residual, squared) of sum theta_k ln p_k z / (1 - z) for every run and target.
+    """(run_id, sigma, t, residual, squared) of sum theta_k ln p_k z / (1 - z) for every run and target."""
+    table = coefficient_table(constant_coefficients(primes, "one"), primes)
+    return lfunc_residual(weights.select(F.lit("one").alias("lfunc"), "*"), table, targets).drop("lfunc")
+
+
+def lfunc_residual(weights: DataFrame, table: DataFrame, targets: DataFrame) -> DataFrame:
+    """(lfunc, run_id, sigma, t, residual, squared): the weighted sum of each function's logarithmic derivatives over weights
+    (lfunc, run_id, k, theta), for every run and target.
 
     Targets (a fixed short list) are broadcast; runs times primes are summed with partial aggregation.
     """
-    terms = weights.join(F.broadcast(primes), "k")
+    terms = weights.join(table.select("lfunc", "k", "p", "ln_p", "coef", "degree"), ["lfunc", "k"])
     listed = targets.groupBy(F.lit(0).alias("_one")).agg(F.collect_list(F.struct("sigma", "t")).alias("_targets"))
-    terms = terms.withColumn("_one", F.lit(0)).join(F.broadcast(listed), "_one").withColumn("_t", F.explode("_targets")).select("run_id", "theta", "p", "ln_p", "_t.sigma", "_t.t")
+    terms = terms.withColumn("_one", F.lit(0)).join(F.broadcast(listed), "_one").withColumn("_t", F.explode("_targets"))
+    terms = terms.select("lfunc", "run_id", "theta", "p", "ln_p", "coef", "degree", "_t.sigma", "_t.t")
     re, im = prime_power("p", "ln_p", "sigma", "t")
-    dr, di = log_derivative(re, im, "ln_p")
-    sums = terms.groupBy("run_id", "sigma", "t").agg(F.sum(F.col("theta") * dr).alias("a"), F.sum(F.col("theta") * di).alias("b"))
+    dr, di = quadratic_log_derivative(re, im, _square(), "ln_p", "coef")
+    sums = terms.groupBy("lfunc", "run_id", "sigma", "t").agg(F.sum(F.col("theta") * dr).alias("a"), F.sum(F.col("theta") * di).alias("b"))
     squared = F.col("a") ** 2 + F.col("b") ** 2
-    return sums.select("run_id", "sigma", "t", F.sqrt(squared).alias("residual"), squared.alias("squared"))
+    return sums.select("lfunc", "run_id", "sigma", "t", F.sqrt(squared).alias("residual"), squared.alias("squared"))
 
 
 def weight_screen(weights: DataFrame, table: DataFrame) -> DataFrame:

@@ -43,11 +43,11 @@ def permutation_baseline(
 ) -> DataFrame:
     """(object, observed, baseline_mean, baseline_std, z, signal) of a statistic over consecutive values.
 
-    Round 0 is the data; in the others the values of each object are put in a hashed
-    order.  Objects hold a bounded number of values; |z| below 2 is no signal.
+    Round 0 is the data; in the others the values of each object are put in the order of the MD5 of "seed,round,pos",
+    which any engine can repeat.  Objects hold a bounded number of values; |z| below 2 is no signal.
     """
     rows = df.select(obj, pos, value).withColumn("_round", F.explode(F.sequence(F.lit(0), F.lit(rounds))))
-    place = F.when(F.col("_round") == 0, F.col(pos).cast("long")).otherwise(F.xxhash64(F.lit(seed), "_round", pos))
+    place = F.when(F.col("_round") == 0, F.lit("")).otherwise(F.md5(F.concat_ws(",", F.lit(seed), "_round", pos)))
     rows = rows.withColumn("_place", place)
     after = F.lead(value).over(W.partitionBy(obj, "_round").orderBy("_place", pos))
     each = rows.withColumn("_next", after).groupBy(obj, "_round").agg(statistic(F.col(value), F.col("_next")).alias("s"))
