@@ -123,10 +123,43 @@ def trajectory_scales(spark, d):
     return euler.trajectory_scales(driver.parameter_points(spark, d), t.prime_table(spark, 1500))
 
 
-ETA_SQL = with_("""g AS (SELECT c_custkey AS pos, 1.0::DOUBLE + c_custkey * 0.05::DOUBLE AS t FROM customer),
-  e AS (SELECT pos, t, sqrt(sum(s * cos(t * l)) ^ 2 + sum(s * sin(t * l)) ^ 2) AS eta FROM (SELECT *, ln(n) AS l, CASE WHEN n % 2 = 1 THEN 1.0 ELSE -1.0 END * exp(-0.5 * ln(n)) AS s FROM (SELECT pos, t, unnest(range(1, CAST(greatest(80, ceil(t)) AS BIGINT) + 1)) AS n FROM g) v) w GROUP BY 1, 2),
-  x AS (SELECT *, lag(eta) OVER (ORDER BY pos) AS a, lead(eta) OVER (ORDER BY pos) AS b FROM e)""") + """
-  SELECT pos, t, eta FROM x WHERE eta < a AND eta < b AND eta < (SELECT quantile_cont(eta, 0.1) FROM e)"""
+_PSI = """CASE WHEN abs(cos(2 * pi() * ({0}))) < 1e-6 THEN sin(2 * pi() * (({0}) ^ 2 - ({0}) - 1 / 16.0::DOUBLE)) * (2 * ({0}) - 1) / sin(2 * pi() * ({0}))
+    ELSE cos(2 * pi() * (({0}) ^ 2 - ({0}) - 1 / 16.0::DOUBLE)) / cos(2 * pi() * ({0})) END"""
+
+
+def _main_sql(t_):
+    """|eta| of the main sum with two corrections, as an expression of t."""
+    a = f"sqrt(({t_}) / (2 * pi()))"
+    theta = f"(({t_}) * ln({a}) - ({t_}) / 2 - pi() / 8 + 1 / (48 * ({t_})) + 7 / (5760 * ({t_}) ^ 3))"
+    terms_ = f"list_sum(list_transform(range(1, CAST(floor({a}) AS BIGINT) + 1), lambda n: cos({theta} - ({t_}) * ln(n)) / sqrt(n)))"
+    psi = lambda e: "(" + _PSI.format(f"{a} - floor({a}) {e}") + ")"
+    bend = f"({psi('+ 0.02')} - 2 * {psi('+ 0.01')} + 2 * {psi('- 0.01')} - {psi('- 0.02')}) / 2e-6"
+    rest = f"CASE WHEN floor({a}) % 2 = 1 THEN 1 ELSE -1 END * ({psi('')} - {bend} / (96 * pi() ^ 2 * {a})) / sqrt({a})"
+    return f"sqrt(3 - 2 * sqrt(2) * cos(({t_}) * ln(2))) * abs(2 * {terms_} + {rest})"
+
+
+def _alternating_sql(t_, count, weight):
+    part = lambda f: f"list_sum(list_transform(range(1, {count + 1}), lambda n: {weight} * (CASE n % 2 WHEN 1 THEN 1 ELSE -1 END) * exp(-0.5 * ln(n)) * {f}(({t_}) * ln(n))))"
+    return f"sqrt({part('cos')} ^ 2 + {part('sin')} ^ 2)"
+
+
+_SCAN = f"""g AS (SELECT c_custkey AS pos, 1.0::DOUBLE + c_custkey * 0.05::DOUBLE AS t FROM customer),
+  e AS (SELECT pos, t, CASE WHEN t <= 80 THEN {_alternating_sql('t', 80, '1.0::DOUBLE')} ELSE {_main_sql('t')} END AS eta FROM g),
+  x AS (SELECT *, lag(eta) OVER (ORDER BY pos) AS a, lead(eta) OVER (ORDER BY pos) AS b FROM e),
+  low AS (SELECT pos, t, eta FROM x WHERE eta < a AND eta < b AND eta < (SELECT quantile_cont(eta, 0.1) FROM e))"""
+ETA_SQL = with_(_SCAN) + "SELECT pos, t, eta FROM low"
+
+
+def _refine_sql(rounds=6):
+    """Nested grids: each round keeps a candidate's best of 21 points."""
+    weights = "wts AS (SELECT [" + ", ".join(f"{w!r}::DOUBLE" for w in euler.acceleration_weights()) + "] AS w)"
+    steps, before = [], "SELECT pos, t AS gamma, t <= 200 AS is_low FROM low"
+    for step in range(rounds):
+        size = f"CASE WHEN is_low THEN {_alternating_sql('t', euler.WEIGHTS, 'w[n]')} ELSE {_main_sql('t')} END"
+        steps.append(f"""r{step} AS MATERIALIZED (SELECT pos, arg_min(t, residual) AS gamma, min(residual) AS residual, any_value(is_low) AS is_low
+            FROM (SELECT pos, is_low, t, {size} AS residual FROM (SELECT *, gamma + unnest(range(-10, 11)) * {0.1 / 10 ** (step + 1)!r}::DOUBLE AS t FROM ({before}) c) q, wts) z GROUP BY pos)""")
+        before = f"SELECT pos, gamma, is_low FROM r{step}"
+    return with_(_SCAN, weights, *steps) + f"SELECT pos, round(gamma, 4) AS gamma, round(residual, 4) AS residual, residual < 1e-3 AS accepted FROM r{rounds - 1}"
 
 
 def _grid(spark, d):
@@ -139,9 +172,11 @@ def valley_scan(spark, d):
     return euler.valley_scan(_grid(spark, d))
 
 
-@query()
+@query(_refine_sql(), "gamma residual")
 def valley_refinement(spark, d):
-    return euler.valley_refine(spark, euler.valley_scan(_grid(spark, d)))
+    """At four decimals, above the last grid's step, where the two engines' roundings may choose neighbours."""
+    found = euler.valley_refine(euler.valley_scan(_grid(spark, d)))
+    return found.withColumns({c: F.round(c, 4) for c in ("gamma", "residual")})
 
 
 CF = (RATIONALS, """cf(seq_id, k, n, d, a, q1, q0) AS (SELECT seq_id, 0, den, num % den, num // den, CAST(1 AS BIGINT), CAST(0 AS BIGINT) FROM rationals

@@ -238,21 +238,56 @@ def trajectory_scales(points: DataFrame, primes: DataFrame, window: int = 50, pr
     return table.select("point_id", *[F.when(enough, F.col(f)).alias(f) for f in SCALE_FEATURES], enough.alias("scales_valid"))
 
 
-def eta_scan(grid: DataFrame, terms: int = 80) -> DataFrame:
-    """Add |sum over n <= N of (-1)^(n+1) n^-(1/2 + i t)| to a grid with column t and a unique key pos.
+#: Up to these t the alternating sums are used: plain ones for the scan, accelerated ones for refinement.
+PLAIN_UP_TO, SERIES_UP_TO = 80.0, 200.0
+WEIGHTS = 256
+
+
+def _main_sum(t: Column) -> Column:
+    """Z(t), the size of zeta on the critical line up to sign: floor(sqrt(t / 2 pi)) terms and two corrections.
 
-    N is ``terms`` or, above it, t rounded up: shorter sums lose the valleys. Each sum is taken inside its row.
+    The error is of the order of 0.01 (t / 2 pi)^(-5/4).
     """
-    count = F.greatest(F.lit(terms), F.ceil(F.abs("t"))).cast("int")
+    a = F.sqrt(t / F.lit(2 * math.pi))
+    count = F.floor(a)
+    theta = t * F.log(a) - t / 2 - F.lit(math.pi / 8) + 1 / (48 * t) + 7 / (5760 * t * t * t)
+    terms = F.aggregate(
+        F.sequence(F.lit(1).cast("long"), count), F.lit(0.0), lambda acc, n: acc + F.cos(theta - t * F.ln(n.cast("double"))) / F.sqrt(n.cast("double")))
+    part, h = a - count, 0.01
+
+    def psi(p: Column) -> Column:
+        arch, below = 2 * math.pi * (p * p - p - 1 / 16), F.cos(2 * math.pi * p)
+        # at a zero of the denominator, the quotient of the derivatives
+        return F.when(F.abs(below) < 1e-6, F.sin(arch) * (2 * p - 1) / F.sin(2 * math.pi * p)).otherwise(F.cos(arch) / below)
+
+    bend = (psi(part + 2 * h) - 2 * psi(part + h) + 2 * psi(part - h) - psi(part - 2 * h)) / (2 * h**3)
+    rest = (psi(part) - bend / (96 * math.pi**2 * a)) / F.sqrt(a)
+    return 2 * terms + F.when(count % 2 == 1, rest).otherwise(-rest)
+
+
+def _eta_of_main_sum(t: Column) -> Column:
+    """|eta| = |1 - 2^(1-s)| |zeta| on the critical line."""
+    return F.sqrt(3 - F.lit(2 * math.sqrt(2)) * F.cos(t * F.lit(math.log(2)))) * F.abs(_main_sum(t))
+
+
+def _alternating(t: Column, count: int, weight) -> Column:
+    """|sum over n <= count of weight(n) (-1)^(n+1) n^-(1/2 + i t)|, inside the row."""
     start = F.struct(F.lit(0.0).alias("re"), F.lit(0.0).alias("im"))
 
     def step(state: Column, n: Column) -> Column:
         ln = F.ln(n.cast("double"))
-        size = F.when(n % 2 == 1, 1.0).otherwise(-1.0) * F.exp(-0.5 * ln)
-        return F.struct((state["re"] + size * F.cos(F.col("t") * ln)).alias("re"), (state["im"] + size * F.sin(F.col("t") * ln)).alias("im"))
+        size = weight(n) * F.when(n % 2 == 1, 1.0).otherwise(-1.0) * F.exp(-0.5 * ln)
+        return F.struct((state["re"] + size * F.cos(t * ln)).alias("re"), (state["im"] + size * F.sin(t * ln)).alias("im"))
 
-    total = F.aggregate(F.sequence(F.lit(1), count), start, step, lambda z: scalar.magnitude(z["re"], z["im"]))
-    return grid.select("pos", "t", total.alias("eta"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(count)), start, step, lambda z: scalar.magnitude(z["re"], z["im"]))
+
+
+def eta_scan(grid: DataFrame, terms: int = 80) -> DataFrame:
+    """Add |eta(1/2 + i t)| to a grid with column t and a unique key pos: the plain sum of ``terms`` terms up to t = 80,
+    sqrt(t / 2 pi) terms of the main sum above, each inside its row."""
+    t = F.col("t")
+    eta = F.when(t <= PLAIN_UP_TO, _alternating(t, terms, lambda n: F.lit(1.0))).otherwise(_eta_of_main_sum(t))
+    return grid.select("pos", "t", eta.alias("eta"))
 
 
 def valley_scan(grid: DataFrame, lfunc: str = "zeta", terms: int = 80) -> DataFrame:
@@ -269,7 +304,7 @@ def valley_scan(grid: DataFrame, lfunc: str = "zeta", terms: int = 80) -> DataFr
     return low.join(F.broadcast(threshold), "_all").where("eta < _q").select("pos", "t", "eta")
 
 
-def _borwein_weights(n: int) -> list[float]:
+def acceleration_weights(n: int = WEIGHTS) -> list[float]:
     """Weights of the accelerated alternating series: 1 - d_k / d_n, from exact whole parts of d_n."""
     parts = [1]
     for i in range(n):
@@ -281,33 +316,24 @@ def _borwein_weights(n: int) -> list[float]:
     return out
 
 
-def valley_refine(spark: SparkSession, candidates: DataFrame, rounds: int = 6, radius: float = 0.1, accept: float = 1e-3) -> DataFrame:
+def valley_refine(candidates: DataFrame, rounds: int = 6, radius: float = 0.1, accept: float = 1e-3) -> DataFrame:
     """(pos, gamma, residual, accepted): every candidate narrowed by nested grids of 21 points.
 
-    ``accepted`` says that the residual is below ``accept``. Series lengths are powers of two from t + 20 up; their
-    weights are tabled as far as the highest candidate needs, at most four rows for each unit of t.
+    ``accepted`` says that the residual is below ``accept``. Up to t = 200 the residual is that of the series of 256 terms,
+    accelerated by a fixed list of weights, above that of the main sum. A candidate is refined inside its row.
     """
-    top = candidates.agg(F.max("t")).first()[0] or 0.0
-    sizes = [64]
-    while sizes[-1] < top + 20 + radius:
-        sizes.append(2 * sizes[-1])
-    weights = spark.createDataFrame([(n, k + 1, w) for n in sizes for k, w in enumerate(_borwein_weights(n))], "size int, n int, weight double")
-    size = F.lit(sizes[-1])
-    for n in reversed(sizes[:-1]):
-        size = F.when(F.col("gamma") + 20 <= n, n).otherwise(size)
-    current = candidates.select("pos", F.col("t").alias("gamma"))
-    for step in range(rounds):
-        width = radius / 10 ** (step + 1)
-        grid = current.select("pos", size.alias("size"), "gamma", F.explode(F.sequence(F.lit(-10), F.lit(10))).alias("_g")).select(
-            "pos", "size", (F.col("gamma") + F.col("_g") * F.lit(width)).alias("t")
-        )
-        terms = grid.withColumn("n", F.explode(F.sequence(F.lit(1), F.col("size")))).join(weights, ["size", "n"])
-        ln = F.ln(F.col("n").cast("double"))
-        amount = F.col("weight") * F.when(F.col("n") % 2 == 1, 1.0).otherwise(-1.0) * F.exp(-0.5 * ln)
-        sums = terms.groupBy("pos", "t").agg(F.sum(amount * F.cos(F.col("t") * ln)).alias("a"), F.sum(amount * F.sin(F.col("t") * ln)).alias("b"))
-        best = sums.groupBy("pos").agg(F.min(F.struct(scalar.magnitude("a", "b").alias("residual"), "t")).alias("m"))
-        current = best.select("pos", F.col("m.t").alias("gamma"), F.col("m.residual").alias("residual"))
-    return current.withColumn("accepted", F.col("residual") < accept)
+    weights = F.lit(acceleration_weights())
+    series = lambda t: _alternating(t, WEIGHTS, lambda n: F.element_at(weights, n))
+    residual = lambda t: F.when(F.col("t") <= SERIES_UP_TO, series(t)).otherwise(_eta_of_main_sum(t))
+
+    def narrowed(best: Column, width: Column) -> Column:
+        spots = F.transform(F.sequence(F.lit(-10), F.lit(10)), lambda g: best["gamma"] + g * width)
+        return F.array_min(F.transform(spots, lambda t: F.struct(residual(t).alias("residual"), t.alias("gamma"))))
+
+    widths = F.lit([radius / 10 ** (step + 1) for step in range(rounds)])
+    start = F.struct(F.lit(float("inf")).alias("residual"), F.col("t").alias("gamma"))
+    found = candidates.select("pos", F.aggregate(widths, start, narrowed).alias("_best"))
+    return found.select("pos", "_best.gamma", "_best.residual", (F.col("_best.residual") < accept).alias("accepted"))
 
 
 def weighted_residual(weights: DataFrame, primes: DataFrame, targets: DataFrame) -> DataFrame:

@@ -14,20 +14,34 @@ def test_valleys_lead_to_the_first_ten_zeros(spark):
     grid = spark.range(1200).select(F.col("id").alias("pos"), (F.col("id") * 0.05).alias("t"))
     valleys = euler.valley_scan(grid)
     assert valleys.count() == 14
-    found = sorted(r.gamma for r in euler.valley_refine(spark, valleys).where("accepted AND gamma > 10 AND gamma < 50").collect())
+    found = sorted(r.gamma for r in euler.valley_refine(valleys).where("accepted AND gamma > 10 AND gamma < 50").collect())
     assert np.allclose(found, ZETA_ZEROS, atol=1e-5)
     with pytest.raises(NotImplementedError):
         euler.valley_scan(grid, lfunc="dirichlet")
 
 
 def test_scan_far_up_finds_every_zero(spark):
-    """Between 1,050 and 1,080 the counting formula has 25 or 26 zeros; 80 terms and 1,024 weights would not do there."""
+    """Between 1,050 and 1,080 the counting formula has 25 or 26 zeros; 80 terms would not do there."""
     count = lambda t: t / (2 * math.pi) * math.log(t / (2 * math.pi * math.e)) + 7 / 8
     grid = spark.range(600).select(F.col("id").alias("pos"), (1050 + F.col("id") * 0.05).alias("t"))
-    got = euler.valley_refine(spark, euler.valley_scan(grid)).where("accepted").count()
+    got = euler.valley_refine(euler.valley_scan(grid)).where("accepted").count()
     assert abs(got - (count(1080) - count(1050))) < 1.5
 
 
+def test_the_main_sum_equals_long_sums(spark):
+    """Against the accelerated series up to 400, and a long plain sum averaged over its last two partial sums beyond."""
+    ts = [81.3, 150.0, 250.77, 399.9, 2 * math.pi * 5.25**2, 2 * math.pi * 40.75**2, 1000.0, 10_000.5, 100_000.25]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(ts)], "pos long, t double")
+    got = {r.pos: r.eta for r in euler.eta_scan(rows).collect()}
+    for k, t in enumerate(ts):
+        n = np.arange(1, int(40 * t) + 2)
+        z = np.where(n % 2, 1, -1) * n**-0.5 * np.exp(-1j * t * np.log(n))
+        total = z.cumsum()[-12:]
+        while len(total) > 1:
+            total = (total[1:] + total[:-1]) / 2
+        assert abs(got[k] - abs(total[0])) < (1e-3 if t < 1000 else 2e-4), t
+
+
 def test_large_numbers_are_tested_for_primality(spark):
     primes = [2, 37, 999_983, 1_000_003, 2**31 - 1, 2**61 - 1, 4_611_686_018_427_387_847]
     others = [-7, 0, 1, 4, 999_983 * 2, 1_000_003 * 1_000_033, 3_215_031_751, 3_825_123_056_546_413_051, 2**62, 2_147_483_647**2]
