@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"<>]*"|'[^'<>]*'|["'])*)>|<!--|<[!?/][^>]*>""")
-HINT = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-HIDDEN = re.compile(r"""display\s*:\s*none|aria-hidden\s*=\s*["']?true|(?<![\w-])hidden(?![\w-])""", re.I)
+#: A tag ends at the first >; nothing in it is matched in two ways, and a text without > is not searched.
+TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)>|<!--|<[!?/][^>]*+>""")
+CUT_OFF = re.compile(r"<(?=[a-zA-Z/!?])")
+ATTRIBUTE = re.compile(r"""([^\s"'=<>/]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?""")
+UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 NAME = re.compile(r"[a-z]+")
 
 #: Elements whose content is no text of the page.
@@ -31,23 +33,47 @@ BOILER_NAMES = frozenset(
 CONTENT_NAMES = frozenset("article content main post entry story text body".split())
 #: Elements that an opening of the same kind closes.
 SELF_CLOSING = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: Words before a name that say that a page has or lacks such a part, not that this is it.
+ABOUT = frozenset("has have with without no not hide show".split())
 BOILER = -6.0
+SHORT = 1.0
+CLOSERS = {tag: re.compile(f"</{tag}[^>]*+>", re.I) for tag in RAW}
+
+
+def _named(value: str) -> tuple[bool, bool]:
+    """Whether class or id names speak for content, and whether for boilerplate."""
+    content = boiler = False
+    for name in value.lower().split():
+        words = NAME.findall(name)
+        content |= len(words) == 1 and words[0] in CONTENT_NAMES
+        boiler |= not (words and words[0] in ABOUT) and not BOILER_NAMES.isdisjoint(words)
+    return content, boiler
 
 
 def _bias(parent: float, tag: str, attributes: str) -> float:
-    """How much an element speaks for content (positive) or boilerplate, given where it stands; boilerplate stays so."""
+    """How much an element speaks for content (positive) or boilerplate, given where it stands.
+
+    Names of boilerplate count where the element has none of content; a main element inside an element that only its
+    name marks as boilerplate starts anew, what is inside other boilerplate stays that.
+    """
+    if tag == "main" and parent == BOILER:
+        parent = 0.0
     if parent <= BOILER or tag in BOILER_TAGS or tag == "header" and parent < 2:
-        return BOILER
+        return 2 * BOILER if tag in BOILER_TAGS else min(parent, BOILER)
     own = CONTENT_TAGS.get(tag, 0.0)
-    if attributes and tag not in UNHINTED:
-        for m in HINT.finditer(attributes):
-            names = NAME.findall((m[1] or m[2] or m[3] or "").lower())
-            if not BOILER_NAMES.isdisjoint(names):
-                return BOILER
-            if not CONTENT_NAMES.isdisjoint(names):
-                own = max(own, 1.5)
-        if HIDDEN.search(attributes):
+    if attributes and "=" in attributes or "hidden" in attributes:
+        content = boiler = False
+        for m in ATTRIBUTE.finditer(attributes):
+            name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+            if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and UNSEEN.search(value):
+                return 2 * BOILER
+            if name in ("class", "id", "role") and tag not in UNHINTED:
+                says = _named(value)
+                content, boiler = content or says[0], boiler or says[1]
+        if boiler and not content:
             return BOILER
+        if content:
+            own = max(own, 1.5)
     return parent + own
 
 
@@ -58,6 +84,7 @@ def blocks(page: str) -> list[tuple[str, float, int, int]]:
     text: list[str] = []
     linked = number = at = links = 0
     end = len(page)
+    opened: Counter[str] = Counter()
 
     def flush() -> None:
         nonlocal linked
@@ -80,8 +107,11 @@ def blocks(page: str) -> list[tuple[str, float, int, int]]:
         linked = 0
 
     while at < end:
-        m = TAG.search(page, at)
-        stop = m.start() if m else end
+        whole_tags = page.find(">", at) >= 0
+        m = TAG.search(page, at) if whole_tags else None
+        # a page may end inside a tag, which is dropped
+        cut_off = None if whole_tags else CUT_OFF.search(page, at)
+        stop = m.start() if m else cut_off.start() if cut_off else end
         if stop > at:
             piece = page[at:stop]
             text.append(piece)
@@ -107,20 +137,22 @@ def blocks(page: str) -> list[tuple[str, float, int, int]]:
         if tag in VOID:
             continue
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
+            while opened[tag]:  # what stands above its opening is closed, too
+                top = stack.pop()[0]
+                opened[top] -= 1
+                if top == tag:
                     break
             links = 0
             continue
         if tag in RAW:
-            close = re.compile(f"</{re.escape(tag)}[^>]*>", re.I).search(page, at)
+            close = CLOSERS[tag].search(page, at)
             at = close.end() if close else end
             continue
         closes = SELF_CLOSING.get(tag)
         while closes and stack[-1][0] in closes:
-            stack.pop()
+            opened[stack.pop()[0]] -= 1
         number += 1
+        opened[tag] += 1
         stack.append((tag, _bias(stack[-1][1], tag, m[3]), number if tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li") else stack[-1][2]))
     flush()
     return out
@@ -184,14 +216,18 @@ def main_text(page: str, smooth: float = 0.8) -> str:
         if parent in last and last[parent] < k - 1:
             edges.append((last[parent], k, smooth / 2))
         last[parent] = k
-    keep = cut([b[1] for b in found], edges)
+    gain = [b[1] for b in found]
+    if max(gain, default=0.0) <= 0:  # a page of short blocks only: length says nothing there
+        gain = [g + SHORT if g > -1 else g for g in gain]
+    keep = cut(gain, edges)
     return "\n".join(b[0] for b, good in zip(found, keep) if good)
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every page: its main text, empty if it has none or html is null.
 
-    Repeated rows give equal results; other columns are ignored; an empty table gives no rows.
+    Pages of any length are read whole, in time linear in their tags; a page that ends inside a tag, a comment or a script
+    loses that. Repeated rows give equal results; other columns are ignored; an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
