@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -18,11 +19,14 @@ CLASSES = (
     ("0123456789abcdefABCDEF", r"(?<![0-9a-fA-F])[0-9a-fA-F]{20,}", 3.0),
     ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}", 3.7),
 )
-#: Candidates that are none: words, placeholders, counting sequences, UUIDs, paths of words.
+#: Candidates that are none: words, UUIDs, paths of words.
 ALLOWED = (
-    r"^[A-Z]?[a-z]+$", r"^[A-Z]+$", r"(?i)example|placeholder|x{4}|changeme", r"(?i)0123456789|abcdefghij",
-    r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$", r"^[/_-]?[A-Za-z]+([/_-][A-Za-z]+)+[/_-]?$",
+    r"^[A-Z]?[a-z]+$", r"^[A-Z]+$", r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$", r"^[/_-]?[A-Za-z]+([/_-][A-Za-z]+)+[/_-]?$",
 )
+#: Placeholders and counting sequences, in either case: windows that overlap one are none.
+ALLOWED_WORDS = ("example", "placeholder", "xxxx", "changeme", "0123456789", "abcdefghij")
+#: Stands for a character of an allowed word; no class has it.
+GAP = "\x01"
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string>>"
 
 
@@ -48,47 +52,81 @@ def _spans(places: Column, rank: int, kind: str) -> Column:
     return F.transform(places, lambda p: F.struct(p["start"].alias("start"), F.lit(rank).alias("rank"), p["end"].alias("end"), F.lit(kind).alias("kind"))).cast(SPAN)
 
 
-def _hot_part(candidate: Column, alphabet: str, bits: float) -> Column:
-    """(first, last) of the windows with at least `bits` of Shannon entropy; last is 0 if there is none.
+def _characters(run: Column, words: tuple[str, ...]) -> Column:
+    """The characters of a candidate, those of allowed words replaced one by one."""
+    for word in words:
+        run = F.regexp_replace(run, F.lit(f"(?i){re.escape(word)}"), F.lit(GAP * len(word)))
+    return F.split(run, "")
 
-    The counts of the alphabet and the sum of c log2 c follow the window: one character enters, one leaves.
+
+def _bumped(counts: Column, at: Column, by: int, size: int) -> Column:
+    """The counts with one of them changed."""
+    return F.concat(F.slice(counts, F.lit(1), at), F.array(F.get(counts, at) + by), F.slice(counts, at + 2, size - 1 - at))
+
+
+def _hot_parts(signs: Column, alphabet: str, bits: float) -> Column:
+    """(first, last) of every stretch between allowed words, from its first to its last window with at least `bits` of
+    Shannon entropy.
+
+    The counts of the alphabet and the sum of c log2 c follow the window: one character enters, one leaves; an allowed
+    word empties the window. The characters are an array that was split once, so a run costs time linear in its length.
     """
-    signs = F.split(candidate, "")
     weigh = lambda c: F.when(c > 0, c * F.log2(c)).otherwise(0.0)
+    empty = F.array_repeat(F.lit(0), len(alphabet))
     start = F.struct(
-        F.array_repeat(F.lit(0), len(alphabet)).alias("counts"), F.lit(0.0).cast("double").alias("sum"), F.lit(0).alias("first"), F.lit(0).alias("last"))
+        empty.alias("counts"), F.lit(0.0).cast("double").alias("sum"), F.lit(0).alias("held"), F.lit(0).alias("first"), F.lit(0).alias("last"),
+        F.array().cast("array<struct<first:int,last:int>>").alias("done"))
+    closed = lambda s: F.when(s["last"] > 0, F.concat(s["done"], F.array(F.struct(s["first"].alias("first"), s["last"].alias("last"))))).otherwise(s["done"])
 
     def step(state: Column, at: Column) -> Column:
         new = F.instr(F.lit(alphabet), F.element_at(signs, at)) - 1
-        full = at > WINDOW
+        full = state["held"] == WINDOW
         old = F.when(full, F.instr(F.lit(alphabet), F.element_at(signs, F.greatest(at - WINDOW, F.lit(1)))) - 1).otherwise(-1)
-        come, gone = F.get(state["counts"], new), F.coalesce(F.get(state["counts"], F.greatest(old, F.lit(0))), F.lit(0))
+        come, gone = F.get(state["counts"], F.greatest(new, F.lit(0))), F.coalesce(F.get(state["counts"], F.greatest(old, F.lit(0))), F.lit(0))
         change = F.when(new == old, 0.0).otherwise(
             weigh(come + 1) - weigh(come) + F.when(full, weigh(gone - 1) - weigh(gone)).otherwise(0.0))
-        total = state["sum"] + change
-        hot = (at >= WINDOW) & (math.log2(WINDOW) - total / WINDOW >= bits)
-        counts = F.transform(state["counts"], lambda c, k: c + (k == new).cast("int") - (k == old).cast("int"))
-        return F.struct(
-            counts.alias("counts"), total.alias("sum"),
+        total, held = state["sum"] + change, F.least(state["held"] + 1, F.lit(WINDOW))
+        hot = (held == WINDOW) & (math.log2(WINDOW) - total / WINDOW >= bits)
+        entered = F.array(_bumped(state["counts"], new, 1, len(alphabet)))
+        left = F.transform(entered, lambda c: F.when(full, _bumped(c, old, -1, len(alphabet))).otherwise(c))
+        counts = F.when(new == old, state["counts"]).otherwise(F.get(left, F.lit(0)))
+        moved = F.struct(
+            counts.alias("counts"), total.alias("sum"), held.alias("held"),
             F.when(hot & (state["last"] == 0), at - WINDOW).otherwise(state["first"]).alias("first"),
-            F.when(hot, at).otherwise(state["last"]).alias("last"))
+            F.when(hot, at).otherwise(state["last"]).alias("last"), state["done"].alias("done"))
+        emptied = F.struct(
+            empty.alias("counts"), F.lit(0.0).alias("sum"), F.lit(0).alias("held"), F.lit(0).alias("first"), F.lit(0).alias("last"), closed(state).alias("done"))
+        return F.when(new < 0, emptied).otherwise(moved)
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(candidate)), start, step, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last")))
+    return F.aggregate(F.sequence(F.lit(1), F.size(signs)), start, step, closed)
+
+
+def _split(words: tuple[str, ...]):
+    return lambda p: F.struct(p["place"]["start"].alias("at"), _characters(p["run"], words).alias("signs"))
 
 
 def _heated(alphabet: str, bits: float):
-    return lambda p: F.struct(p["place"]["start"].alias("at"), _hot_part(p["run"], alphabet, bits).alias("part"))
+    return lambda p: F.struct(p["at"].alias("at"), _hot_parts(p["signs"], alphabet, bits).alias("parts"))
+
+
+def _placed(h: Column) -> Column:
+    return F.transform(h["parts"], lambda part: F.struct((h["at"] + part["first"]).alias("start"), (h["at"] + part["last"]).alias("end")))
 
 
-def find_secrets(docs: DataFrame, text: str = "text", allowed: tuple[str, ...] = ALLOWED) -> DataFrame:
+def find_secrets(
+    docs: DataFrame, text: str = "text", allowed: tuple[str, ...] = ALLOWED, allowed_words: tuple[str, ...] = ALLOWED_WORDS
+) -> DataFrame:
     """docs with `base_spans` and `secret_spans`, sorted arrays of (start, rank, end, kind) in code points, end exclusive.
 
     Base kinds come from fixed patterns, leftmost without overlap, short ones dropped. The kind `entropy` is added:
-    within maximal runs of one character class, the stretch of windows of 20 characters whose entropy is high enough,
-    unless an allow-list pattern fits the run or a base span holds the stretch. Null and empty texts have no spans.
+    within maximal runs of one character class, the stretches of windows of 20 characters whose entropy is high enough,
+    unless an allow-list pattern fits the run, an allowed word overlaps the window or a base span holds the stretch. Null
+    and empty texts have no spans; equal rows have equal ones; texts and runs of any length are scanned whole; an empty
+    table stays empty. Columns of docs stay, but for earlier ones of these two names.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
-    out = docs.withColumn("_text", whole)
+    own = [c for c in docs.columns if c not in ("base_spans", "secret_spans")]
+    out = docs.select(F.struct(*own).alias("_row"), whole.alias("_text"))
     for kind, pattern, group, _ in BASE:
         out = out.withColumn(f"_hits_{kind}", F.regexp_extract_all("_text", F.lit(pattern), F.lit(0)))
     for rank, (kind, pattern, group, least) in enumerate(BASE):
@@ -108,13 +146,13 @@ def find_secrets(docs: DataFrame, text: str = "text", allowed: tuple[str, ...] =
         places = _positions(F.col("_text"), pattern, runs)
         pairs = F.arrays_zip(places.alias("place"), runs.alias("run"))
         suspect = F.filter(pairs, lambda p: ~F.coalesce(*[F.when(p["run"].rlike(a), True) for a in allowed], F.lit(False)))
-        heated = F.transform(suspect, _heated(alphabet, bits))
-        hot = F.filter(heated, lambda h: h["part"]["last"] > 0)
-        spans = F.transform(hot, lambda h: F.struct((h["at"] + h["part"]["first"]).alias("start"), (h["at"] + h["part"]["last"]).alias("end")))
+        # split in a transform of its own: the steps of the next one read the array, they do not make it again
+        heated = F.transform(F.transform(suspect, _split(allowed_words)), _heated(alphabet, bits))
+        spans = F.flatten(F.transform(heated, _placed))
         found.append(F.when(F.size(runs) > 0, _spans(spans, len(BASE), "entropy")).otherwise(_none()))
     added = F.filter(F.array_distinct(F.concat(*found)), lambda s: ~F.exists("base_spans", lambda b: (b["start"] <= s["start"]) & (b["end"] >= s["end"])))
     out = out.withColumn("_added", added).withColumn("secret_spans", F.array_sort(F.concat("base_spans", "_added")))
-    return out.drop(*[c for c in out.columns if c.startswith(("_hits_", "_base_", "_runs_"))], "_text", "_added")
+    return out.select("_row.*", "base_spans", "secret_spans")
 
 
 def joined(spans: Column) -> Column:
