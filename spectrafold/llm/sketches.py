@@ -1,4 +1,4 @@
-"""Document fingerprints: sketches that keep every shingle hash."""
+"""Document fingerprints: threshold-scaled sketches of shingle hashes."""
 
 from __future__ import annotations
 
@@ -14,6 +14,9 @@ from pyspark.sql import DataFrame, functions as F
 
 WORDS = 5
 HASH_BITS = 48
+#: Share of the hashes' range below which a hash is kept, in every text.
+FRACTION = 0.5
+LIMIT = np.uint64(int(FRACTION * 2**HASH_BITS))
 SEGMENT_WORDS = 1 << 16
 FLUSH = 16 << 20
 
@@ -47,12 +50,12 @@ def shingle_hashes(text: str, words: int, seed: int = 42) -> Iterator[np.ndarray
 
 
 def sketch(text: str) -> np.ndarray:
-    """Sorted distinct hashes of all shingles.
+    """Sorted distinct hashes below LIMIT of all shingles.
 
-    Sketches of parts merge by union, and the share of one sketch found in another is the containment of its
-    shingles, however short or unequal the documents are.
+    Which hashes are kept depends on them alone, so sketches of parts merge by union, and the share of one sketch that
+    another holds estimates the containment of its shingles, however unequal the documents are.
     """
-    kept = [np.unique(block >> np.uint64(64 - HASH_BITS)) for block in shingle_hashes(text, WORDS)]
+    kept = [np.unique(hashes[hashes < LIMIT]) for hashes in (block >> np.uint64(64 - HASH_BITS) for block in shingle_hashes(text, WORDS))]
     return np.unique(np.concatenate(kept)) if kept else np.zeros(0, np.uint64)
 
 
@@ -125,7 +128,7 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
     """One row per document: its fingerprint, that of its edited text, and likenesses to the edited and the next text.
 
     The next document is the one with the next id; after the last comes the first. Null ids sort first, rows that
-    share an id follow each other by text, null texts count as empty. Ranges of ids are sorted each on its own, and a
+    share an id follow each other by text, null texts count as empty. Short texts may keep no hash; their likeness is 1 to each other and 0 to texts that do. Ranges of ids are sorted each on its own, and a
     range holds a copy of the first document after it, so no task sees more than a range. An empty table gives no rows.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
