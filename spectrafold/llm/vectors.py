@@ -60,28 +60,44 @@ class Quantiser:
         return out
 
 
+#: List numbers of vectors of one length; a list's key is the length times this, plus its number.
+KEYS = 1 << 16
+
+
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Each vector times a power of two that brings its largest component near one: cosines stay, squares stay finite."""
+    _, power = np.frexp(np.abs(x).max(axis=1))
+    return np.ldexp(x, -power[:, None])
+
+
 def _matrix(column: pa.ListArray, dim: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dim)
+    return _scaled(column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dim))
 
 
-def _place(quantiser, probes: int):
+def _by_length(column: pa.ListArray) -> Iterator[tuple[int, np.ndarray]]:
+    """(length, row numbers) of the vectors of each length."""
+    sizes = column.value_lengths().to_numpy(zero_copy_only=False)
+    for dim in np.unique(sizes):
+        yield int(dim), np.flatnonzero(sizes == dim)
+
+
+def _place(quantisers, probes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q = quantiser.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = _matrix(batch.column("embedding"), q.dim)
-            x /= np.sqrt((x**2).sum(axis=1))[:, None]
-            near = np.argsort(q.distances(x), axis=1, kind="stable")[:, :probes].astype(np.int32)
-            code, error = q.codes(x - q.centres[near[:, 0]])
-            yield pa.RecordBatch.from_arrays([
-                batch.column("node"), batch.column("weight"), batch.column("embedding"), pa.array(list(near), pa.list_(pa.int32())),
-                pa.array([c.tobytes() for c in code], pa.binary()), pa.array(error)], ["node", "weight", "embedding", "probes", "code", "error"])
+        for whole in batches:
+            for dim, at in _by_length(whole.column("embedding")):
+                q, batch = quantisers.value[dim], whole.take(pa.array(at))
+                x = _matrix(batch.column("embedding"), dim)
+                x /= np.sqrt((x**2).sum(axis=1))[:, None]
+                near = np.argsort(q.distances(x), axis=1, kind="stable")[:, :probes]
+                code, error = q.codes(x - q.centres[near[:, 0]])
+                yield pa.RecordBatch.from_arrays([
+                    batch.column("node"), batch.column("weight"), batch.column("embedding"), pa.array(list(near + dim * KEYS), pa.list_(pa.int64())),
+                    pa.array([c.tobytes() for c in code], pa.binary()), pa.array(error)], ["node", "weight", "embedding", "probes", "code", "error"])
 
     return run
 
 
-def _search(quantiser, least: float):
+def _search(quantisers, least: float):
     reach = math.sqrt(2 - 2 * least)
 
     def side(rows, dim: int):
@@ -92,16 +108,16 @@ def _search(quantiser, least: float):
         return get("node").to_numpy(zero_copy_only=False), get("weight").to_numpy(zero_copy_only=False), x, probes, fields
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q = quantiser.value
         for batch in batches:
             for r in range(batch.num_rows):
                 home = batch.column("list")[r].as_py()
+                q = quantisers.value[home // KEYS]
                 ask, ask_w, qx, q_probes, _ = side(batch.column("asking")[r], q.dim)
                 own, own_w, mx, m_probes, fields = side(batch.column("members")[r], q.dim)
                 qu, mu = (v / np.sqrt((v**2).sum(axis=1))[:, None] for v in (qx, mx))
                 code = np.frombuffer(b"".join(fields.field("code").to_pylist()), np.uint8).reshape(len(own), -1)
                 error = fields.field("error").to_numpy(zero_copy_only=False)
-                tables = q.tables(qu - q.centres[home])
+                tables = q.tables(qu - q.centres[home % KEYS])
                 far = np.zeros((len(ask), len(own)))
                 for k in range(code.shape[1]):
                     far += tables[:, k, code[:, k]]
@@ -142,9 +158,9 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, lists: int = LISTS, pr
 
     Equal vectors are one class, linked among themselves; classes are indexed and searched, in tiles of bounded size
     however full a list is. The quantiser is fitted on at most `sample` classes, the first by hash. Vectors that are
-    null, zero or hold null or non-finite components, and rows without vec_id, link with nothing; those of another length
-    than most usable ones link with equal ones alone; rows without id have no component. Rows that share a vec_id count as one node. Other
-    columns are ignored; an empty table gives no rows.
+    null, zero or hold null or non-finite components, and rows without vec_id, link with nothing; rows without id have no
+    component. Vectors of each length have a quantiser of their own and link among themselves. Equal rows count as one
+    node. Other columns are ignored; an empty table gives no rows.
     """
     spark, scratch = vectors.sparkSession, Scratch(vectors.sparkSession)
     v = F.col("embedding")
@@ -152,23 +168,25 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, lists: int = LISTS, pr
     sound = v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = rows.withColumn("sound", F.coalesce(sound, F.lit(False)) & F.col("vec_id").isNotNull())
     classes = scratch.save(
-        rows.where("sound").groupBy("embedding").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("weight"))
+        rows.where("sound").select("vec_id", "embedding").distinct().groupBy("embedding").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("weight"))
         .withColumn("dim", F.size("embedding")))
-    common = classes.groupBy("dim").agg(F.sum("weight").alias("n")).orderBy(F.desc("n"), "dim").first()
-    if common is None:
+    lengths = [r["dim"] for r in classes.select("dim").distinct().collect()]
+    if not lengths:
         lone = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
         return lone.withColumn("kept", F.col("vec_id").isNotNull())
-    usable = classes.where(F.col("dim") == common["dim"])
-    picked = usable.select("embedding", "node").orderBy(F.xxhash64("node"), "node").limit(sample).select("embedding").toPandas()
-    fitted = np.array(picked.embedding.tolist(), float)
-    fitted /= np.sqrt((fitted**2).sum(axis=1))[:, None]
-    quantiser = spark.sparkContext.broadcast(Quantiser(fitted, lists))  # at most lists + PARTS x CODES centres
-    placed = scratch.save(usable.select("node", "weight", "embedding").mapInArrow(
-        _place(quantiser, probes), "node long, weight long, embedding array<double>, probes array<int>, code binary, error double"))
+    fitted = {}
+    for dim in lengths:  # a few; at most lists + PARTS x CODES centres each
+        of_length = classes.where(F.col("dim") == dim).select("embedding", "node")
+        picked = of_length.orderBy(F.xxhash64("node"), "node").limit(sample).select("embedding").toPandas()
+        x = _scaled(np.array(picked.embedding.tolist(), float))
+        fitted[dim] = Quantiser(x / np.sqrt((x**2).sum(axis=1))[:, None], lists)
+    quantisers = spark.sparkContext.broadcast(fitted)
+    placed = scratch.save(classes.select("node", "weight", "embedding").mapInArrow(
+        _place(quantisers, probes), "node long, weight long, embedding array<double>, probes array<long>, code binary, error double"))
     columns = ["node", "weight", "embedding", "probes"]
     members = tiles(placed.withColumn("list", F.col("probes")[0]), "list", "node", TILE, [*columns, "code", "error"]).select("list", F.col("rows").alias("members"))
     asking = tiles(placed.withColumn("list", F.explode("probes")), "list", "node", TILE, columns).select("list", F.col("rows").alias("asking"))
-    found = scratch.save(asking.join(members, "list").mapInArrow(_search(quantiser, least), "u long, v long, n long"))
+    found = scratch.save(asking.join(members, "list").mapInArrow(_search(quantisers, least), "u long, v long, n long"))
     roots = components(found.where("v is not null").select("u", "v"), scratch)
     links = found.where("v is null").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("links"))
     named = (
