@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -14,9 +15,8 @@ from pyspark.sql import DataFrame, functions as F
 
 WORDS = 5
 HASH_BITS = 48
-#: Share of the hashes' range below which a hash is kept, in every text.
+#: Share of the hashes' range below which fingerprints of documents keep a hash, in every text.
 FRACTION = 0.5
-LIMIT = np.uint64(int(FRACTION * 2**HASH_BITS))
 SEGMENT_WORDS = 1 << 16
 FLUSH = 16 << 20
 
@@ -49,13 +49,14 @@ def shingle_hashes(text: str, words: int, seed: int = 42) -> Iterator[np.ndarray
         held = tokens[len(tokens) - words + 1:]
 
 
-def sketch(text: str) -> np.ndarray:
-    """Sorted distinct hashes below LIMIT of all shingles.
+def sketch(text: str, fraction: float = 1.0) -> np.ndarray:
+    """Sorted distinct hashes of all shingles that lie below `fraction` of the hashes' range.
 
-    Which hashes are kept depends on them alone, so sketches of parts merge by union, and the share of one sketch that
-    another holds estimates the containment of its shingles, however unequal the documents are.
+    Which hashes are kept depends on them alone, so sketches of one fraction merge by union, and the share of one that
+    another holds estimates the containment of its shingles, however unequal the documents are; at 1 it is exact.
     """
-    kept = [np.unique(hashes[hashes < LIMIT]) for hashes in (block >> np.uint64(64 - HASH_BITS) for block in shingle_hashes(text, WORDS))]
+    limit = np.uint64(int(fraction * 2**HASH_BITS))
+    kept = [np.unique(hashes[hashes < limit]) for hashes in (block >> np.uint64(64 - HASH_BITS) for block in shingle_hashes(text, WORDS))]
     return np.unique(np.concatenate(kept)) if kept else np.zeros(0, np.uint64)
 
 
@@ -94,7 +95,7 @@ def _ranges(docs: DataFrame, parts: int) -> DataFrame:
     return at.select("doc_id", "text", F.explode(places).alias("place")).select("place.part", "place.guard", "doc_id", "text")
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compare(batches: Iterator[pa.RecordBatch], fraction: float) -> Iterator[pa.RecordBatch]:
     last = None
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     kind = None
@@ -109,12 +110,12 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, batch.num_rows, 512):
             piece = batch.slice(at, 512)
             for part, guard, doc_id, text in zip(*(piece.column(c).to_pylist() for c in ("part", "guard", "doc_id", "text"))):
-                now = (part, guard, doc_id, text or "", sketch(text or ""))
+                now = (part, guard, doc_id, text or "", sketch(text or "", fraction))
                 if last is not None and last[0] == part and not last[1]:
                     old, own = last[3], last[4]
                     cut = len(old) // 4
                     edited = old[: len(old) - cut] + now[3][:cut]
-                    other = sketch(edited)
+                    other = sketch(edited, fraction)
                     rows.append((last[2], len(old), hashlib.sha256(edited.encode()).hexdigest(), text_of(own), text_of(other), likeness(own, other), likeness(own, now[4])))
                     size += len(rows[-1][3]) + len(rows[-1][4])
                     if size > FLUSH:
@@ -124,7 +125,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield table(rows)
 
 
-def compare_with_edits(docs: DataFrame) -> DataFrame:
+def compare_with_edits(docs: DataFrame, fraction: float = FRACTION) -> DataFrame:
     """One row per document: its fingerprint, that of its edited text, and likenesses to the edited and the next text.
 
     The next document is the one with the next id; after the last comes the first. Null ids sort first, rows that
@@ -136,4 +137,4 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
     order = placed.repartition(parts, "part").sortWithinPartitions("part", "guard", F.col("doc_id").asc_nulls_first(), F.coalesce("text", F.lit("")))
     kind = docs.schema["doc_id"].dataType.simpleString()
     return order.mapInArrow(
-        _compare, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+        partial(_compare, fraction=fraction), f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
