@@ -9,6 +9,7 @@ from spectrafold.catalog.waves import CASCADE, CASCADE_SELECT
 from spectrafold.functions import stats
 from spectrafold.operators.ranks import guarded_corr
 from spectrafold.plans import cascade, euler, validation
+from spectrafold.session import shared_path
 from spectrafold.sources import driver, tables as t
 
 MOMENTS = """m AS (SELECT series_id, label, avg(value) AS mean, stddev_pop(value) AS std, kurtosis_pop(value) AS kurt, max(value) AS peak, max(value) - min(value) AS span, count(*) * 1.0::DOUBLE AS n FROM series GROUP BY 1, 2)"""
@@ -97,3 +98,11 @@ def verdict_rollup(spark, d):
 def stacked_features(spark, d):
     suppliers = t.table(spark, d, "supplier").withColumnRenamed("s_acctbal", "balance")
     return validation.stacked_features({"signal": (_moments(spark, d), "series_id", ["mean", "std"]), "supplier": (suppliers, "s_suppkey", ["balance"])})
+
+
+@query(with_(SERIES, MOMENTS) + "SELECT series_id, label, mean, std, kurt, peak, span FROM m", "mean std kurt peak span")
+def written_features(spark, d):
+    """A feature table written by label and read back; the partition column returns as what it was."""
+    path = shared_path(spark, "features")
+    t.feature_sink(_moments(spark, d), path, "parquet", ["label"])
+    return spark.read.parquet(path).select("series_id", "label", *NAMES)

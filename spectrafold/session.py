@@ -46,13 +46,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share."""
+    _ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def saved(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared checkpoint folder and go on from there.
 
     A checkpoint carries the estimated size of its plan on, and a join multiplies estimates, so in a loop the
     number's digits grow exponentially; a written table starts anew from the size of its files.
     """
-    _ensure_checkpoint_dir(df.sparkSession)
-    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/saved-{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession, "saved")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
