@@ -19,6 +19,7 @@ HEADLINE = [
     "vibration_profile", "color_profile", "channel_profile", "level_profile", "dispersion_profile", "euler_atlas", "trajectory_scales",
     "valley_scan", "quotient_profile", "quotient_pairs", "curve_audit", "weighted_residuals", "tree_profile", "degree_statistics",
     "connected_components", "hop_distances", "rank_correlation", "tumbling_statistics", "session_statistics",
+    "graph_profile", "path_profile", "lfunc_atlas",
 ]
 
 
