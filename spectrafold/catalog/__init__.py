@@ -7,7 +7,7 @@ import importlib
 from spectrafold.catalog.registry import REGISTRY
 
 MODULES = (
-    "tables", "scalars", "aggregates", "windows", "waves", "levels", "number_theory", "channels", "graphs", "trees", "validation", "streams", "sqlaccess",
+    "tables", "scalars", "aggregates", "windows", "waves", "levels", "number_theory", "channels", "graphs", "trees", "validation", "streams", "sqlaccess", "neighbours",
 )
 
 for _module in MODULES:
