@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from spectrafold.catalog.registry import query
 from spectrafold.catalog.sqltext import POINTS, RATIONALS, SERIES, primes, with_
 from spectrafold.functions.fixed import ZETA_ZEROS
-from spectrafold.operators import fits, quotients
+from spectrafold.operators import curvegroups, fits, quotients
 from spectrafold.operators.blocks import consecutive_pairs
 from spectrafold.plans import curves, euler, quotient
 from spectrafold.sources import driver, tables as t
@@ -257,6 +257,15 @@ def curve_orders(spark, d):
     return curves.curve_orders(_curves(spark, d)).withColumn("ap", F.col("p") + 1 - F.col("n_points"))
 
 
+@query()
+def large_field_orders(spark, d):
+    """Points of one curve per customer over the first prime field from a start between a million and 2 ** 31."""
+    start = (F.lit(1_000_003) + F.pmod(F.xxhash64("c_custkey"), F.lit(2**31 - 2_000_000))).cast("long")
+    fields = F.filter(F.sequence(start, start + 400), t.is_prime)
+    rows = t.table(spark, d, "customer").select(F.col("c_custkey").alias("a"), (F.col("c_nationkey") + 1).alias("b"), F.get(fields, F.lit(0)).alias("p"))
+    return curvegroups.large_curve_orders(rows).withColumn("ap", F.col("p") + 1 - F.col("n_points"))
+
+
 AUDIT_SQL = with_(primes(1500), CURVES, """kinds AS (SELECT DISTINCT a, b, p FROM curves),
   probes AS (SELECT * FROM (SELECT a, b, kinds.p, primes.p AS q, row_number() OVER (PARTITION BY a, b, kinds.p ORDER BY primes.p) - 1 AS seq FROM kinds JOIN primes ON primes.p BETWEEN greatest(5, kinds.p - 20) AND kinds.p + 20) z WHERE seq < 20),
   fields AS (SELECT DISTINCT a % q AS a, b % q AS b, q AS p FROM probes UNION SELECT a % p, b % p, p FROM kinds)""", COUNTS, """

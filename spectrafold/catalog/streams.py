@@ -11,8 +11,8 @@ STATS = """count(*) AS n, avg(value) AS mean, stddev_pop(value) AS std, CASE WHE
 FLOATS = "mean std kurtosis rms crest energy"
 
 
-def _events(spark, d):
-    return signals.sensor_events(t.table(spark, d, "events"))
+def _events(spark, d, *more):
+    return signals.sensor_events(t.table(spark, d, "events"), *more)
 
 
 def _plain(df):
@@ -54,3 +54,16 @@ def late_event_counts(spark, d):
         F.col("user_id").alias("sensor"), "ts", F.expr("event_id div 64 * 64 + 63 - event_id % 64").alias("arrival")
     )
     return signals.late_events(rows, "arrival", 60)
+
+
+@query("""WITH r AS (SELECT user_id AS sensor, event_id // 16 + CASE WHEN event_id % 7 = 0 THEN 1 ELSE 0 END AS batch, ts, value FROM events),
+  m AS (SELECT batch, date_trunc('millisecond', max(last) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 60 SECOND) AS mark FROM (SELECT batch, max(ts) AS last FROM r GROUP BY 1) q)
+  SELECT batch, sensor, count(*) AS n_late, count(*) FILTER (floor(epoch_us(ts) / 3600000000::BIGINT) * 3600000000 + 3600000000 <= epoch_us(mark)) AS n_closed, CAST(max(epoch_us(mark) - epoch_us(ts)) AS BIGINT) AS most_late_us
+  FROM r JOIN m USING (batch) WHERE ts < mark GROUP BY 1, 2""")
+def late_rows_per_batch(spark, d):
+    """Rows behind the watermark if 16 event ids came as one micro-batch, every seventh id one batch later, and those of closed hours."""
+    rows = _events(spark, d, F.expr("event_id div 16 + if(event_id % 7 = 0, 1, 0)").alias("batch"))
+    late = signals.late_rows(rows, "batch", 60, 3600)
+    return late.groupBy("batch", "sensor").agg(
+        F.count("*").alias("n_late"), F.count_if("closed").alias("n_closed"), F.max(F.unix_micros("watermark") - F.unix_micros("ts")).alias("most_late_us")
+    )

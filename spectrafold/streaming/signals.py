@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from spectrafold.functions import stats
-from spectrafold.operators.blocks import running_sum
+from spectrafold.operators.blocks import dense_index, running_sum
 
 STAT_COLUMNS = ("n", "mean", "std", "kurtosis", "rms", "crest", "energy")
 CHANGE_SCHEMA = "sensor long, window_start timestamp, severity string, previous string"
+LATE_SCHEMA = "sensor long, us long, value double, mark long, n_late long"
 
 
 def event_stream(spark: SparkSession, path: str, pattern: str = "events*.parquet") -> DataFrame:
@@ -21,8 +24,8 @@ def event_stream(spark: SparkSession, path: str, pattern: str = "events*.parquet
     return sensor_events(files)
 
 
-def sensor_events(events: DataFrame) -> DataFrame:
-    return events.select(F.col("user_id").alias("sensor"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").cast("double").alias("value"))
+def sensor_events(events: DataFrame, *more: Column) -> DataFrame:
+    return events.select(F.col("user_id").alias("sensor"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").cast("double").alias("value"), *more)
 
 
 def _statistics() -> list[Column]:
@@ -99,3 +102,57 @@ def late_events(events: DataFrame, arrival: str, late_seconds: int) -> DataFrame
     seen = running_sum(events.withColumn("_all", F.lit(0)), ["_all"], arrival, {"_seen": "ts"}, largest=True)
     late = F.col("ts") < F.col("_seen") - F.expr(f"interval {late_seconds} seconds")
     return seen.groupBy("sensor").agg(F.sum(F.when(late, 1).otherwise(0)).alias("n_late"))
+
+
+def _flag_late(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+    mark = state.getCurrentWatermarkMs() * 1_000
+    count = state.get[0] if state.exists else 0
+    for rows in batches:
+        old = rows[rows["us"] < mark]
+        if len(old):
+            yield pd.DataFrame({
+                "sensor": key[0], "us": old["us"], "value": old["value"], "mark": mark, "n_late": range(count + 1, count + len(old) + 1),
+            })
+            count += len(old)
+    state.update((count,))
+
+
+def _closed(window_seconds: int) -> Column:
+    """Whether the tumbling window of ``ts`` ends at the watermark or before it."""
+    length = window_seconds * 10**6
+    return (F.floor(F.unix_micros("ts") / length) + 1) * length <= F.unix_micros("watermark")
+
+
+def stream_late_rows(events: DataFrame, delay: str, window_seconds: int) -> DataFrame:
+    """The rows of a stream that come behind the watermark, beside the windows over the same stream.
+
+    (sensor, ts, value, watermark, closed, n_late): ``watermark`` is the one of the row's micro-batch, the largest time
+    of the batches before less ``delay``; ``closed`` tells that the tumbling window of ``window_seconds`` it belongs to
+    ends by then; ``n_late`` numbers the late rows of a sensor, that count is the state.  Rows without a time are left out.
+    """
+    rows = events.withWatermark("ts", delay).where("ts IS NOT NULL").select("sensor", "ts", "value", F.unix_micros("ts").alias("us"))
+    late = rows.groupBy("sensor").applyInPandasWithState(_flag_late, LATE_SCHEMA, "n long", "append", "NoTimeout")
+    late = late.select("sensor", F.timestamp_micros("us").alias("ts"), "value", F.timestamp_micros("mark").alias("watermark"), "n_late")
+    return late.select("sensor", "ts", "value", "watermark", _closed(window_seconds).alias("closed"), "n_late")
+
+
+def late_rows(events: DataFrame, batch: str, delay_seconds: int, window_seconds: int) -> DataFrame:
+    """Batch twin of ``stream_late_rows`` for rows with the number of their micro-batch: (batch, sensor, ts, value, watermark, closed).
+
+    Batches are many fewer than rows: their largest times are one row each, the running maximum goes over those.
+    """
+    ends = events.groupBy(F.col(batch).alias("batch")).agg(F.max("ts").alias("_last")).withColumn("_all", F.lit(0))
+    ends = dense_index(ends, ["_all"], ["batch"], "_i")
+    seen = running_sum(ends, ["_all"], "_i", {"_seen": "_last"}, largest=True)
+    after = seen.select((F.col("_i") + 1).alias("_i"), F.date_trunc("millisecond", F.col("_seen") - F.expr(f"interval {delay_seconds} seconds")).alias("watermark"))
+    marks = seen.select("batch", "_i").join(after, "_i").select("batch", "watermark")
+    rows = events.select(F.col(batch).alias("batch"), "sensor", "ts", "value").join(marks, "batch").where(F.col("ts") < F.col("watermark"))
+    return rows.withColumn("closed", _closed(window_seconds))
+
+
+def dropped_by_watermark(query: StreamingQuery) -> int:
+    """Rows that the stateful steps of a running or finished query report as dropped behind the watermark.
+
+    Windows report partial sums, one per task, sensor and window of a batch, so this is at most the number of rows.
+    """
+    return sum(int(step["numRowsDroppedByWatermark"]) for p in query.recentProgress for step in json.loads(p.json)["stateOperators"])

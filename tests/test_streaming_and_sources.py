@@ -40,6 +40,28 @@ def test_sessions_in_a_stream(spark, tmp_path):
     assert got.join(want, ["sensor", "window_start", "n"]).count() == got.count() > 0
 
 
+def test_late_rows_of_a_stream_equal_the_batch_twin(spark, tmp_path):
+    rows = [(k % 3, 3600 * k - (40_000 if k % 5 == 4 else 0) - (9 if k % 7 == 6 else 0), float(k), k // 8) for k in range(64)] + [(1, None, 0.0, 2), (0, 25_000, 1.0, 1)]
+    table = spark.createDataFrame(rows, "sensor long, s long, value double, batch long").withColumn("ts", F.timestamp_seconds(F.col("s") + 1_700_000_000))
+    folder = tmp_path / "in"
+    for batch in range(8):
+        table.where(F.col("batch") == batch).select("sensor", "ts", "value").coalesce(1).write.mode("append").parquet(str(folder))
+    arriving = lambda: spark.readStream.schema("sensor long, ts timestamp, value double").option("maxFilesPerTrigger", 1).parquet(str(folder))
+    got = signals.run_to_table(signals.stream_late_rows(arriving(), "60 seconds", 3600), "late", str(tmp_path / "l")).collect()
+    want = signals.late_rows(table, "batch", 60, 3600).select("sensor", "ts", "value", "watermark", "closed").collect()
+    assert {tuple(r)[:5] for r in got} == {tuple(r) for r in want} and len(got) == len(want) > 0
+    assert {r.closed for r in got} == {True, False}
+    for sensor in {r.sensor for r in got}:
+        numbers = sorted(r.n_late for r in got if r.sensor == sensor)
+        assert numbers == list(range(1, len(numbers) + 1))
+    windows = signals.windowed_statistics(arriving(), "1 hour", late="60 seconds")
+    query = (
+        windows.writeStream.format("memory").queryName("hours").option("checkpointLocation", str(tmp_path / "h")).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    assert 0 < signals.dropped_by_watermark(query) <= sum(r.closed for r in got)
+
+
 @pytest.mark.parametrize("unit,scale", [("HZ", 1.0), ("KHZ", 1e3), ("MHZ", 1e6), ("GHZ", 1e9)])
 @pytest.mark.parametrize("layout", ["MA", "DB", "RI"])
 def test_touchstone_units_and_layouts(spark, tmp_path, unit, scale, layout):
