@@ -259,10 +259,12 @@ def curve_orders(spark, d):
 
 @query()
 def large_field_orders(spark, d):
-    """Points of one curve per customer over the first prime field from a start between a million and 2 ** 31."""
-    start = (F.lit(1_000_003) + F.pmod(F.xxhash64("c_custkey"), F.lit(2**31 - 2_000_000))).cast("long")
-    fields = F.filter(F.sequence(start, start + 400), t.is_prime)
-    rows = t.table(spark, d, "customer").select(F.col("c_custkey").alias("a"), (F.col("c_nationkey") + 1).alias("b"), F.get(fields, F.lit(0)).alias("p"))
+    """Points of one curve per customer over the field of its nation, the first prime from a start between a million and 2 ** 31."""
+    start = (F.lit(1_000_003) + F.pmod(F.xxhash64("n_nationkey"), F.lit(2**31 - 2_000_000))).cast("long")
+    fields = t.table(spark, d, "nation").select("n_nationkey", F.explode(F.sequence(start, start + 400)).alias("p"))
+    fields = fields.where(t.is_prime("p")).groupBy("n_nationkey").agg(F.min("p").alias("p"))
+    rows = t.table(spark, d, "customer").join(fields, F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = rows.select(F.col("c_custkey").alias("a"), (F.col("c_custkey") % 89 + 1).alias("b"), "p")
     return curvegroups.large_curve_orders(rows).withColumn("ap", F.col("p") + 1 - F.col("n_points"))
 
 

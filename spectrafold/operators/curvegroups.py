@@ -1,8 +1,8 @@
 """Orders of curves y^2 = x^3 + a x + b over large prime fields, from the group law instead of p rows a curve.
 
 The order lies within 2 sqrt(p) of p + 1 and is a multiple of the order of every point; that of the twisted curve,
-2 p + 2 less the order, is one of every point of the twist.  Baby and giant steps find a multiple of a point's order in
-that interval in about p^(1/4) additions; points of the curve and its twist are taken until one number is left.
+2 p + 2 less the order, is one of every point of the twist.  Baby and giant steps find all multiples of a point's order
+in that interval by about p^(1/4) additions; points of the curve and its twist are taken until one number is left.
 """
 
 from __future__ import annotations
@@ -45,39 +45,23 @@ def _times(p: int, a: int, point, k: int):
     return total
 
 
-def _multiple(p: int, a: int, point) -> int:
-    """Some m > 0 within 2 sqrt(p) + 1 of p + 1 with m * point neutral."""
-    reach = 2 * math.isqrt(p) + 2
-    width = math.isqrt(reach) + 1
+def _multiples(p: int, a: int, point, low: int, high: int) -> set[int] | None:
+    """Every m from low to high with m * point neutral; None for points of small order, which have too many."""
+    width = math.isqrt((high - low) // 2) + 1
     baby, at = {}, None
     for j in range(width + 1):
-        baby.setdefault(at and at[0], (j, at))
+        if (at and at[0]) in baby:
+            return None
+        baby[at and at[0]] = j, at
         at = _add(p, a, at, point)
-    stride = _times(p, a, point, 2 * width + 1)
-    for sign in (1, -1):
-        giant = _times(p, a, point, p + 1)
-        step = stride if sign > 0 else stride and (stride[0], -stride[1] % p)
-        for i in range(reach // (2 * width + 1) + 2):
-            found = baby.get(giant and giant[0])
-            if found is not None:
-                j, same = found
-                return p + 1 + sign * i * (2 * width + 1) + (-j if giant == same else j)
-            giant = _add(p, a, giant, step)
-    raise ArithmeticError("no multiple within the interval; p is not a prime or the curve is singular")
-
-
-def _order(p: int, a: int, point, multiple: int) -> int:
-    rest, d = multiple, 2
-    while rest > 1:
-        if d * d > rest:
-            d = rest
-        if rest % d == 0:
-            rest //= d
-            if _times(p, a, point, multiple // d) is None:
-                multiple //= d
-        else:
-            d += 1
-    return multiple
+    stride = 2 * width + 1
+    step, giant, found = _times(p, a, point, stride), _times(p, a, point, low + width), set()
+    for middle in range(low + width, high + width + 1, stride):
+        if (giant and giant[0]) in baby:
+            j, same = baby[giant and giant[0]]
+            found.add(middle - j if giant == same else middle + j)
+        giant = _add(p, a, giant, step)
+    return {m for m in found if m <= high}
 
 
 def _direct(a: int, b: int, p: int) -> int:
@@ -117,22 +101,24 @@ def curve_order(a: int, b: int, p: int) -> int | None:
     twist = a * non_square**2 % p
     rng = random.Random(f"{a},{b},{p}")
     low, high = p + 1 - math.isqrt(4 * p), p + 1 + math.isqrt(4 * p)
-    here = there = 1
-    while True:
+    left = None
+    while left is None or len(left) > 1:
         x = rng.randrange(p)
         value = (x * x * x + a * x + b) % p
         if value == 0:
             continue
         if pow(value, (p - 1) // 2, p) == 1:
-            point = (x, _square_root(value, p))
-            here = math.lcm(here, _order(p, a, point, _multiple(p, a, point)))
+            found = _multiples(p, a, (x, _square_root(value, p)), low, high)
         else:
             # non_square * value is a square: a point of y^2 = x^3 + a n^2 x + b n^3
             point = (non_square * x % p, _square_root(pow(non_square, 3, p) * value % p, p))
-            there = math.lcm(there, _order(p, twist, point, _multiple(p, twist, point)))
-        left = [n for n in range(-(-low // here) * here, high + 1, here) if (2 * p + 2 - n) % there == 0] if here * there > high - low else []
-        if len(left) == 1:
-            return left[0]
+            found = _multiples(p, twist, point, low, high)
+            found = found and {2 * p + 2 - m for m in found}
+        if found is not None:
+            left = found if left is None else left & found
+    if not left:
+        raise ArithmeticError(f"no order fits; {p} is not a prime")
+    return left.pop()
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -148,4 +134,6 @@ def large_curve_orders(curves: DataFrame) -> DataFrame:
     with p.  Rows with a null or with p out of range or below 2 are left out; that p is a prime is not checked.
     """
     rows = curves.select(*[F.col(c).cast("long").alias(c) for c in "abp"]).where(f"a IS NOT NULL AND b IS NOT NULL AND p BETWEEN 2 AND {LARGEST}")
-    return rows.distinct().mapInPandas(_count, "a long, b long, p long, n_points long")
+    # a curve is heavy beside its row, so small tables are spread, too
+    parts = int(curves.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "a", "b", "p").distinct().mapInPandas(_count, "a long, b long, p long, n_points long")
