@@ -67,3 +67,10 @@ def late_rows_per_batch(spark, d):
     return late.groupBy("batch", "sensor").agg(
         F.count("*").alias("n_late"), F.count_if("closed").alias("n_closed"), F.max(F.unix_micros("watermark") - F.unix_micros("ts")).alias("most_late_us")
     )
+
+
+@query("""SELECT user_id AS sensor, CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS window_start, CAST(epoch(date_trunc('day', ts)) AS BIGINT) + 86400 AS window_end, count(value) AS n,
+  quantile_disc(value, 0.1) AS low, quantile_disc(value, 0.5) AS median, quantile_disc(value, 0.9) AS high FROM events GROUP BY 1, 2, 3""", "low median high")
+def window_quantiles(spark, d):
+    """Daily quantiles per sensor by sketches, exact in windows of up to 200 events."""
+    return _plain(signals.windowed_quantiles(_events(spark, d), "1 day", {"low": 0.1, "median": 0.5, "high": 0.9}))

@@ -54,6 +54,39 @@ def session_statistics(events: DataFrame, gap: str, late: str | None = None) ->
     return table.select("sensor", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *STAT_COLUMNS)
 
 
+def _quantile_columns(sketch: str, probabilities: dict[str, float]) -> list[Column]:
+    return [F.kll_sketch_get_quantile_double(sketch, F.lit(q)).alias(name) for name, q in probabilities.items()]
+
+
+def windowed_quantiles(
+    events: DataFrame, length: str, probabilities: dict[str, float], slide: str | None = None, late: str | None = None, k: int = 200
+) -> DataFrame:
+    """(sensor, window_start, window_end, n, one column per entry of ``probabilities``) over windows, on streams and tables.
+
+    A window's state is one quantile sketch of some kilobytes, whatever the number of its events. Quantiles are values
+    of the window: the smallest whose rank reaches the share, exact up to ``k`` events, beyond with a rank error of
+    about 1.65 % at ``k`` = 200.  Null values are left out; a window of nulls only has n = 0 and null quantiles.
+    """
+    rows = events.withWatermark("ts", late) if late else events
+    window = F.window("ts", length, slide) if slide else F.window("ts", length)
+    value = F.when(~F.isnan("value"), F.col("value"))
+    table = rows.groupBy("sensor", window.alias("w")).agg(F.count(value).alias("n"), F.kll_sketch_agg_double(value, F.lit(k)).alias("_sketch"))
+    quantiles = [F.when(F.col("n") > 0, q).alias(name) for name, q in zip(probabilities, _quantile_columns("_sketch", probabilities))]
+    return table.select("sensor", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n", *quantiles)
+
+
+def sketch_quantiles(rows: DataFrame, keys: list[str], value: str, probabilities: dict[str, float], k: int = 200) -> DataFrame:
+    """(keys, n, one column per entry of ``probabilities``): quantiles of groups too large to sort, from mergeable sketches.
+
+    Only a sketch per task and group is shuffled, so a group with most rows costs no more than another. The rank error
+    is the one of ``windowed_quantiles``.
+    """
+    number = F.when(~F.isnan(F.col(value).cast("double")), F.col(value).cast("double"))
+    table = rows.groupBy(*keys).agg(F.count(number).alias("n"), F.kll_sketch_agg_double(number, F.lit(k)).alias("_sketch"))
+    quantiles = [F.when(F.col("n") > 0, q).alias(name) for name, q in zip(probabilities, _quantile_columns("_sketch", probabilities))]
+    return table.select(*keys, "n", *quantiles)
+
+
 def severity(level: str = "rms", medium: float = 30.0, high: float = 60.0) -> Column:
     value = F.col(level)
     return F.when(value > high, "HIGH").when(value > medium, "MEDIUM").otherwise("LOW")

@@ -62,6 +62,25 @@ def test_late_rows_of_a_stream_equal_the_batch_twin(spark, tmp_path):
     assert 0 < signals.dropped_by_watermark(query) <= sum(r.closed for r in got)
 
 
+def test_window_quantiles_in_a_stream_equal_batch(spark, tmp_path):
+    shares = {"low": 0.1, "median": 0.5}
+    stream = signals.windowed_quantiles(signals.event_stream(spark, DATA), "1 day", shares, late="1 hour")
+    got = {(r.sensor, r.window_start): r for r in signals.run_to_table(stream, "quantiles", str(tmp_path / "q")).collect()}
+    batch = signals.windowed_quantiles(signals.sensor_events(spark.read.parquet(f"{DATA}/events.parquet")), "1 day", shares)
+    want = {(r.sensor, r.window_start): r for r in batch.collect()}
+    assert got and all(want[k] == r for k, r in got.items())
+
+
+def test_sketch_quantiles_of_a_large_group(spark):
+    rows = spark.range(200_000).select(F.lit("a").alias("g"), F.pmod(F.col("id") * 7_919, F.lit(200_000)).alias("v"))
+    rows = rows.unionByName(spark.createDataFrame([("b", 3), ("b", None), ("b", 9), ("c", None)], "g string, v long"))
+    got = {r.g: r for r in signals.sketch_quantiles(rows, ["g"], "v", {"q1": 0.1, "q5": 0.5, "q9": 0.9}).collect()}
+    for name, share in (("q1", 0.1), ("q5", 0.5), ("q9", 0.9)):
+        assert abs(got["a"][name] / 200_000 - share) < 0.03
+    assert (got["b"].n, got["b"].q5, got["b"].q9) == (2, 3.0, 9.0)
+    assert (got["c"].n, got["c"].q5) == (0, None)
+
+
 @pytest.mark.parametrize("unit,scale", [("HZ", 1.0), ("KHZ", 1e3), ("MHZ", 1e6), ("GHZ", 1e9)])
 @pytest.mark.parametrize("layout", ["MA", "DB", "RI"])
 def test_touchstone_units_and_layouts(spark, tmp_path, unit, scale, layout):
