@@ -219,7 +219,7 @@ CF_PROFILE_SQL = with_(*CF, """i AS (SELECT seq_id, k, a, lead(a) OVER w AS nx,
 
 @query(CF_PROFILE_SQL, " ".join(quotient.FEATURES))
 def quotient_profile(spark, d):
-    return quotient.cf_profile(quotients.expand_rationals(driver.rationals(spark, d)))
+    return quotient.cf_profile_rows(quotients.rational_rows(driver.rationals(spark, d)))
 
 
 CF_CROSS_SQL = with_(*CF, """pairs AS (SELECT * FROM (SELECT o_orderkey AS a, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS b FROM orders) z WHERE b IS NOT NULL),
@@ -237,7 +237,7 @@ def quotient_pairs(spark, d):
     """Each order against the customer's next order."""
     orders = t.table(spark, d, "orders").select("o_custkey", "o_orderkey")
     pairs = consecutive_pairs(orders, ["o_custkey"], "o_orderkey")
-    return quotient.cf_cross(quotients.expand_rationals(driver.rationals(spark, d)), pairs)
+    return quotient.cf_cross_rows(quotients.rational_rows(driver.rationals(spark, d)), pairs)
 
 
 CURVES = """curves AS (SELECT p_partkey AS curve_id, CAST(p_size AS BIGINT) AS a, p_partkey % 50 + 1 AS b, p FROM part JOIN primes ON k = p_partkey % 25 + 3)"""

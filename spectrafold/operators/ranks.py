@@ -42,6 +42,25 @@ def guarded_corr(x: str | Column, y: str | Column, floor: float = 1e-10) -> Colu
     return F.when(flat, 0.0).otherwise(F.coalesce(F.nanvl(stats.pearson(x, y), F.lit(0.0)), F.lit(0.0)))
 
 
+def row_ranks(values: Column) -> Column:
+    """Average ranks of the entries of an array, in the row: the mean of an entry's first and last place when sorted."""
+    both = F.array(F.struct(F.sort_array(values).alias("up"), F.sort_array(values, asc=False).alias("down")))
+    place = lambda s, v: (F.array_position(s["up"], v) + F.size(s["up"]) + 1 - F.array_position(s["down"], v)) / 2.0
+    return F.transform(both, lambda s: F.transform(values, lambda v: place(s, v)))[0]
+
+
+def row_rank_corr(x: Column, y: Column, floor: float = 1e-10) -> Column:
+    """Correlation of the average ranks of two arrays of one length, 0 where either is (almost) constant."""
+    middle = (F.size(x) + 1) / 2.0
+    pairs = F.zip_with(row_ranks(x), row_ranks(y), lambda a, b: F.struct((a - middle).alias("x"), (b - middle).alias("y")))
+    names = ("xy", "xx", "yy")
+    total = F.aggregate(
+        pairs, F.struct(*[F.lit(0.0).alias(n) for n in names]),
+        lambda s, p: F.struct(*[(s[n] + p[n[0]] * p[n[1]]).alias(n) for n in names]),
+        lambda s: F.when(F.least(s["xx"], s["yy"]) > floor**2 * F.size(x), s["xy"] / F.sqrt(s["xx"] * s["yy"])))
+    return F.coalesce(total, F.lit(0.0))
+
+
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: dict[str, float], bounded: bool = False) -> DataFrame:
     """Exact, linearly interpolated quantiles ``{name: q}`` per group."""
     if not keys:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from spectrafold.functions import scalar, stats
-from spectrafold.operators.ranks import guarded_corr, tied_rank
+from spectrafold.functions import scalar
+from spectrafold.operators.quotients import sequence_rows
+from spectrafold.operators.ranks import row_rank_corr
 from spectrafold.sources.tables import is_prime
 
 FEATURES = (
@@ -39,68 +40,74 @@ def _chi_square(shares, counts, n, keep):
     return chi, cells
 
 
-def cf_profile(quotients: DataFrame) -> DataFrame:
-    """One row per seq_id from (seq_id, k, a, q); a_0 is left out, below three terms the features are NULL.
+def _count(values: Column, condition) -> Column:
+    return F.size(F.filter(values, condition)).cast("double")
 
-    A sequence of 64-bit quotients has at most 91 terms, so its windows are small by construction.
-    """
-    order = W.partitionBy("seq_id").orderBy("k")
-    # only the first copy of the pair (a_k, a_k+1) ranks as x, the second as y
-    rows = quotients.select("seq_id", "k", "a", "q", F.lead("a").over(order).alias("_next"), F.lag("a").over(order).alias("_before"))
-    inner = F.col("k") >= 1
-    x, y = F.when(inner & F.col("_next").isNotNull(), F.col("a")), F.when(inner, F.col("_next"))
-    rows = rows.withColumns({"_x": x, "_y": y, "_in": F.col("_next").isNotNull() & inner})
-    rows = rows.withColumns({
-        "_rx": F.when(F.col("_in"), tied_rank(["seq_id", "_in"], "_x")), "_ry": F.when(F.col("_in"), tied_rank(["seq_id", "_in"], "_y")),
-    })
-    a = F.when(inner, F.col("a"))
-    one = inner & (F.col("a") == 1)
-    starts = one & ((F.col("k") == 1) | (F.col("_before") != 1))
-    count = lambda c: F.sum(F.when(c, 1).otherwise(0))
-    table = rows.groupBy("seq_id").agg(
-        F.count(a).alias("n"), *[count(inner & (F.col("a") == i)).alias(f"_b{i}") for i in range(1, 11)],
-        count(inner & (F.col("a") > 10)).alias("_b11"), *[count(inner & (F.col("a") % 3 == r)).alias(f"_m{r}") for r in range(3)],
-        F.max_by("q", "k").alias("_q"), F.avg(scalar.valuation2(a)).alias("adic2_depth"), count(inner & (F.col("a") % 2 == 1)).alias("_odd"),
-        count(inner & is_prime("a")).alias("_prime"), guarded_corr("_rx", "_ry").alias("_corr"), count(one).alias("_ones"),
-        count(starts).alias("_runs"), F.max(a).cast("double").alias("max_coeff"),
-    )
-    n = F.col("n").cast("double")
+
+def _equal(values: Column, wanted: int, modulus: int | None = None) -> Column:
+    """How many entries, or their residues, equal a number."""
+    return _count(values, lambda x: (x if modulus is None else x % modulus) == wanted)
+
+
+def cf_profile(quotients: DataFrame) -> DataFrame:
+    """One row per seq_id from (seq_id, k, a, q); a_0 is left out, below three terms the features are NULL."""
+    return cf_profile_rows(sequence_rows(quotients))
+
+
+def cf_profile_rows(sequences: DataFrame) -> DataFrame:
+    """The profile of rows (seq_id, a, q), each computed in its row: a sequence of 64-bit quotients has at most 91 terms."""
+    a, n = F.col("a"), F.col("n")
+    starts = lambda x, i: (x == 1) & (F.coalesce(F.get(a, i - 1), F.lit(0)) != 1)
+    rest = F.greatest(F.size(a) - 1, F.lit(0))
+    table = sequences.select(
+        "seq_id", "q", "a", F.size(a).cast("double").alias("n"), F.slice(a, 1, rest).alias("_x"), F.slice(a, 2, rest).alias("_y"),
+        *[_equal(a, i).alias(f"_b{i}") for i in range(1, 11)], _count(a, lambda x: x > 10).alias("_b11"),
+        *[_equal(a, r, 3).alias(f"_m{r}") for r in range(3)], _count(a, starts).alias("_runs"))
     bins, residues = reference_shares()
     chi, cells = _chi_square(bins, [F.col(f"_b{i}") for i in range(1, 12)], n, lambda e: e >= 3)
     chi3, cells3 = _chi_square(residues, [F.col(f"_m{r}") for r in range(3)], n, lambda e: e > 3)
-    safe = F.when(n > 0, n)
-    table = table.withColumns({
+    features = {
         "gk_deviation": F.when(cells >= 3, chi / F.greatest(cells - 1, F.lit(1))),
-        "levy_exponent": F.when(F.col("_q") > 0, F.log2(F.col("_q").cast("double")) / safe).otherwise(0.0),
-        "large_a_freq": F.col("_b11") / safe, "odd_even_ratio": F.col("_odd") / safe, "prime_fraction": F.col("_prime") / safe,
-        "consec_corr": F.when(n > 3, F.col("_corr")).otherwise(0.0),
-        "run_length_1": F.when(F.col("_runs") > 0, F.col("_ones") / F.when(F.col("_runs") > 0, F.col("_runs"))).otherwise(0.0),
+        "levy_exponent": F.when(F.col("q") > 0, F.log2(F.col("q").cast("double")) / n).otherwise(0.0),
+        "large_a_freq": F.col("_b11") / n,
+        "adic2_depth": F.aggregate(a, F.lit(0.0), lambda s, x: s + scalar.valuation2(x)) / n,
+        "odd_even_ratio": _count(a, lambda x: x % 2 == 1) / n,
+        "prime_fraction": _count(a, is_prime) / n,
+        "consec_corr": F.when(n > 3, row_rank_corr(F.col("_x"), F.col("_y"))).otherwise(0.0),
+        "run_length_1": F.when(F.col("_runs") > 0, F.col("_b1") / F.col("_runs")).otherwise(0.0),
+        "max_coeff": F.array_max(a).cast("double"),
         "digit_mod": F.when(cells3 >= 2, chi3),
-    })
-    return table.select("seq_id", *[F.when(F.col("n") >= 3, F.col(f)).alias(f) for f in FEATURES])
+    }
+    return table.select("seq_id", *[F.when(n >= 3, features[f]).alias(f) for f in FEATURES])
 
 
 def cf_cross(quotients: DataFrame, pairs: DataFrame) -> DataFrame:
-    """One row per requested pair (a, b): features of the quotients at equal depth, the longer one cut."""
-    inner = quotients.where("k >= 1")
-    left = inner.select(F.col("seq_id").alias("a"), "k", F.col("a").alias("x"))
-    right = inner.select(F.col("seq_id").alias("b"), "k", F.col("a").alias("y"))
-    rows = pairs.select("a", "b").join(left, "a").join(right, ["b", "k"])
-    keys = ["a", "b"]
-    rows = rows.withColumns({"_rx": tied_rank(keys, "x"), "_ry": tied_rank(keys, "y")})
-    cells = {(i, j): F.sum(F.when((F.col("x") % 3 == i) & (F.col("y") % 3 == j), 1.0).otherwise(0.0)).alias(f"_c{i}{j}") for i in range(3) for j in range(3)}
-    table = rows.groupBy(*keys).agg(
-        F.count("*").cast("double").alias("n"), guarded_corr("_rx", "_ry").alias("cross_corr"),
-        stats.share((F.col("x") > 10) & (F.col("y") > 10)).alias("shared_large"), stats.share(scalar.gcd("x", "y") == 1).alias("gcd_coprime"),
-        *cells.values(),
-    )
+    """One row per requested pair (a, b) from (seq_id, k, a, q): features of the quotients at equal depth, the longer one cut."""
+    return cf_cross_rows(sequence_rows(quotients), pairs)
+
+
+def cf_cross_rows(sequences: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The features of pairs from rows (seq_id, a, q): two joins bring two arrays together, the rest is in the row.
+
+    Pairs with a sequence that has no term after a_0 are left out; a pair requested twice has two rows.
+    """
+    left = sequences.select(F.col("seq_id").alias("a"), F.col("a").alias("x"))
+    right = sequences.select(F.col("seq_id").alias("b"), F.col("a").alias("y"))
+    depth = F.least(F.size("x"), F.size("y"))
+    rows = pairs.select("a", "b").join(left, "a").join(right, "b").where(depth > 0)
+    rows = rows.select("a", "b", depth.cast("double").alias("n"), F.slice("x", 1, depth).alias("x"), F.slice("y", 1, depth).alias("y"))
+    x, y, n = F.col("x"), F.col("y"), F.col("n")
+    met = lambda condition: _count(F.zip_with(x, y, condition), lambda hit: hit) / n
+    rows = rows.withColumn("_cells", F.zip_with(x, y, lambda u, v: u % 3 * 3 + v % 3))
+    joint = [[F.col(f"_c{i}{j}") for j in range(3)] for i in range(3)]
+    rows = rows.withColumns({f"_c{i}{j}": _equal(F.col("_cells"), 3 * i + j) / n for i in range(3) for j in range(3)})
     information = F.lit(0.0)
-    n = F.col("n")
     for i in range(3):
         for j in range(3):
-            joint = F.col(f"_c{i}{j}") / n
-            row = (F.col(f"_c{i}0") + F.col(f"_c{i}1") + F.col(f"_c{i}2")) / n
-            column = (F.col(f"_c0{j}") + F.col(f"_c1{j}") + F.col(f"_c2{j}")) / n
-            information = information + F.when(joint > 0, joint * F.log2(joint / F.when(joint > 0, row * column))).otherwise(0.0)
-    table = table.withColumn("mod_mutual_info", information)
-    return table.select("a", "b", *[F.when(n >= 3, F.col(f)).alias(f) for f in PAIR_FEATURES])
+            apart = sum(joint[i]) * sum(line[j] for line in joint)
+            information = information + F.when(joint[i][j] > 0, joint[i][j] * F.log2(joint[i][j] / F.when(joint[i][j] > 0, apart))).otherwise(0.0)
+    features = {
+        "cross_corr": row_rank_corr(x, y), "shared_large": met(lambda u, v: (u > 10) & (v > 10)),
+        "gcd_coprime": met(lambda u, v: scalar.gcd(u, v) == 1), "mod_mutual_info": information,
+    }
+    return rows.select("a", "b", *[F.when(n >= 3, features[f]).alias(f) for f in PAIR_FEATURES])
