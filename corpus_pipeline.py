@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spectrafold.llm import bpe, language, mixing, near, secret_scan
+from spectrafold.llm import bpe, language, mixing, near, secret_scan, simhash
 from spectrafold.llm.common import Scratch, crc_fold, read
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
@@ -17,8 +17,9 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links of five-word Jaccard similarity 0.8 or more reach, the one with the smallest id stays."""
-    return near.representatives(docs)
+    """Of documents that links of SimHash fingerprints (two bits) reach, the one with the smallest id stays; of those left
+    that links of five-word Jaccard similarity 0.8 or more reach, too."""
+    return near.representatives(simhash.representatives(docs))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
