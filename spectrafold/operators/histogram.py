@@ -7,12 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from spectrafold.operators.blocks import join_spread
+from spectrafold.session import saved
+
+# rows of the largest group that one task may meet, and rows of many groups that it may
+GROUP, ROWS_A_TASK = 65_536, 1 << 20
 
 
 def histogram(df: DataFrame, keys: Sequence[str], value: str, bins: int) -> DataFrame:
     """Counts and density of non-empty bins over the data range of each group; the right edge is closed.
 
-    A constant group is put on a range of width one around its value.
+    A constant group is put on a range of width one around its value.  Small groups are dealt whole over partitions of
+    bounded size; where one is large, limits are repeated per salt instead.
     """
     limits = df.groupBy(*keys).agg(
         F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count(value).alias("_total")
@@ -24,7 +29,14 @@ def histogram(df: DataFrame, keys: Sequence[str], value: str, bins: int) -> Data
         F.when(flat, F.lit(1.0)).otherwise(F.col("_hi") - F.col("_lo")).alias("_span"),
     )
     at = F.least(F.floor((F.col(value) - F.col("_lo")) / F.col("_span") * bins), F.lit(bins - 1)).cast("long")
-    rows = join_spread(df.select(*keys, value).where(F.col(value).isNotNull()), keys, limits, value)
+    rows, limits = df.select(*keys, value).where(F.col(value).isNotNull()), saved(limits)
+    largest, total = limits.agg(F.max("_total"), F.sum("_total")).first()
+    if (largest or 0) <= GROUP:
+        # no hot group: rows and limits are dealt alike, and the counts stay where the rows are
+        parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(total or 0) // ROWS_A_TASK))
+        rows = rows.repartition(parts, *keys).join(limits.repartition(parts, *keys).hint("shuffle_hash"), list(keys))
+    else:
+        rows = join_spread(rows, keys, limits, value)
     return (
         rows.groupBy(*keys, at.alias("bin"))
         .agg(F.count("*").alias("n"), F.first("_total").alias("_total"), F.first("_span").alias("_span"))
