@@ -19,7 +19,7 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that links of SimHash fingerprints (two bits) reach, the one with the smallest id stays; of those left
     that links of five-word Jaccard similarity 0.8 or more reach, too."""
-    return near.representatives(simhash.representatives(docs))
+    return near.representatives(Scratch(spark).save(simhash.representatives(docs)))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -167,7 +167,8 @@ def representatives(docs: DataFrame, words: int = WORDS, least: float = LEAST) -
     keys = classes.select("node", F.explode("bands").alias("band"))
     shared = keys.groupBy("band").agg(F.min("node").alias("v"), F.max("node").alias("w")).where("v <> w").select("band", "v")
     members = scratch.save(keys.join(shared, "band"))
-    suspects = classes.join(members.select("node").distinct(), "node").select("doc_id", "node")
+    # written, so that Spark knows whether the list is short enough to leave the texts where they are
+    suspects = scratch.save(classes.join(members.select("node").distinct(), "node").select("doc_id", "node"))
     sets = scratch.save(named.select("doc_id", "text").join(suspects, "doc_id").select("text", "node").mapInArrow(
         _sets(words), "node long, hashes binary").dropDuplicates(["node"]))
 
@@ -188,7 +189,7 @@ def representatives(docs: DataFrame, words: int = WORDS, least: float = LEAST) -
         .agg(F.collect_list(F.struct("node", "root", "hashes")).alias("met")))
     more = met.select("met").mapInArrow(_compare(least), "u long, v long")
     roots = components(grouped.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more), scratch)
-    for done in (members, sets, rooted):
+    for done in (members, suspects, sets, rooted):
         scratch.drop(done)
     firsts = classes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("group")).agg(F.min("doc_id").alias("doc_id"))
     return one_of_each(docs, firsts.select("doc_id").distinct())

@@ -113,7 +113,16 @@ def representatives(docs: DataFrame, words: int = 3, radius: int = RADIUS) -> Da
 
 
 def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """The rows of docs with an id of groups, one for each id, the first by text; and the rows without an id."""
-    kept = docs.join(groups, "doc_id", "left_semi")
-    once = kept.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.struct("text", F.xxhash64(*docs.columns))).alias("row")).select("row.*")
-    return once.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    """The rows of docs with an id of groups, one for each id, the first by text; and the rows without an id.
+
+    Ids alone say which rows go and which repeat; only rows that repeat a kept id are compared. The lists of both are
+    written, so that Spark knows their size and moves no text to meet a short one.
+    """
+    scratch = Scratch(docs.sparkSession)
+    ids = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    marked = ids.join(groups.select("doc_id", F.lit(True).alias("kept")), "doc_id", "left")
+    apart = scratch.save(marked.where("kept IS NULL OR n > 1").select("doc_id", "kept"))
+    repeated = scratch.save(apart.where("kept").select("doc_id"))
+    once = docs.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(
+        F.min_by(F.struct(*docs.columns), F.struct("text", F.xxhash64(*docs.columns))).alias("row")).select("row.*")
+    return docs.join(apart, "doc_id", "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
