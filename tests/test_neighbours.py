@@ -81,3 +81,21 @@ def test_distance_estimates_of_grid_and_random_graphs(spark):
         assert abs(got[name].est_avg_path / mean - 1) < 0.03
         assert abs(got[name].est_reached / pairs - 1) < 0.03
         assert got[name].est_effective_diameter <= got[name].est_diameter == diameter
+
+
+def test_tiles_of_a_dense_cell_meet_once_and_give_sums_not_pairs(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "TILE", 50)
+    rng = random.Random(9)
+    rows = [(i, [5.0 + rng.random() / 100, rng.random() / 100]) for i in range(300)]
+    classes = neighbours.vector_classes(spark.createDataFrame(rows, "id long, vector array<double>"))
+    tiles = classes.count() // 50
+    assert neighbours._tile_pairs(classes, 1.0).count() <= 9 * tiles * (tiles + 1) // 2
+    found = {r.class_id: r._others for r in neighbours._link_counts(classes, 1.0).collect()}
+    assert found == {i: 299 for i in range(300)}
+
+
+def test_null_entries_link_with_nothing_and_hide_no_other_links(spark):
+    rows = [(i, [i / 10, None if i % 2 else 1.0]) for i in range(20)]
+    classes = neighbours.vector_classes(spark.createDataFrame(rows, "id long, vector array<double>"))
+    got = {(r.a, r.b) for r in neighbours.class_links(classes, 0.25).collect()}
+    assert got == {(i, i + 2) for i in range(0, 18, 2)}
