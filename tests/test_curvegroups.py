@@ -58,3 +58,18 @@ def test_nulls_repeated_rows_and_empty_tables(spark):
     got = {(r.a, r.b, r.p): r.n_points for r in cg.large_curve_orders(df).collect()}
     assert got == {(1, 1, 1_009): cg._direct(1, 1, 1_009), (1, 1, 2): None, (0, 0, 11): None}
     assert cg.large_curve_orders(df.limit(0)).collect() == []
+
+
+def test_multiples_of_many_points_together_equal_those_of_each(monkeypatch):
+    rng = random.Random(8)
+    jobs = []
+    for p in [1_009, 1_013, 999_999_937, 2_147_483_647] * 12:
+        a, b, x = rng.randrange(p), rng.randrange(1, p), rng.randrange(p)
+        value = (x**3 + a * x + b) % p
+        if value and pow(value, (p - 1) // 2, p) == 1:
+            jobs.append((p, a, (x, cg._square_root(value, p)), p + 1 - math.isqrt(4 * p), p + 1 + math.isqrt(4 * p)))
+    alone = [cg._multiples(*job) for job in jobs]
+    calls = []
+    monkeypatch.setattr(cg, "_multiples", lambda *job, old=cg._multiples: calls.append(job) or old(*job))
+    assert cg._multiples_of_all(jobs) == alone
+    assert len(calls) < len(jobs) / 2
