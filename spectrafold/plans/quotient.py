@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from spectrafold.functions import scalar
 from spectrafold.operators.quotients import sequence_rows
 from spectrafold.operators.ranks import row_rank_corr
+from spectrafold.session import share_package
 from spectrafold.sources.tables import is_prime
 
 FEATURES = (
@@ -86,28 +90,61 @@ def cf_cross(quotients: DataFrame, pairs: DataFrame) -> DataFrame:
     return cf_cross_rows(sequence_rows(quotients), pairs)
 
 
+def _centred_ranks(values: np.ndarray, row: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Average ranks of values within their rows of n values, less the middle rank."""
+    order = np.lexsort((values, row))
+    new = np.ones(len(values), bool)
+    new[1:] = (values[order][1:] != values[order][:-1]) | (row[1:] != row[:-1])
+    first = np.flatnonzero(new)
+    size = np.diff(np.append(first, len(values)))
+    place = np.repeat(first + (size - 1) / 2, size) - (np.cumsum(n) - n)[row]
+    out = np.empty(len(values))
+    out[order] = place + 1 - (n[row] + 1) / 2
+    return out
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rank sums and counts of rows (a, b, x, y), x and y of one length; sums of half ranks are exact in any order."""
+    for batch in batches:
+        a, b, x, y = (batch.column(c) for c in "abxy")
+        n = np.diff(x.offsets.to_numpy()).astype(np.int64)
+        x, y = x.flatten().to_numpy(), y.flatten().to_numpy()
+        row = np.repeat(np.arange(len(n)), n)
+        total = lambda w: np.bincount(row, w, len(n))
+        u, v = _centred_ranks(x, row, n), _centred_ranks(y, row, n)
+        cell = np.fmod(x, 3) * 3 + np.fmod(y, 3)
+        told = (cell >= 0) & (cell < 9)
+        cells = np.bincount(row[told] * 9 + cell[told], minlength=9 * len(n)).reshape(-1, 9).astype(np.float64)
+        columns = [total(u * v), total(u * u), total(v * v), total((x > 10) & (y > 10)), total(np.gcd(x, y) == 1), *cells.T]
+        yield pa.RecordBatch.from_arrays([a, b, pa.array(n.astype(np.float64)), *(pa.array(np.ascontiguousarray(c)) for c in columns)], ["a", "b", *COMPARED])
+
+
+COMPARED = ["n", "_xy", "_xx", "_yy", "_large", "_coprime", *[f"_c{i}{j}" for i in range(3) for j in range(3)]]
+
+
 def cf_cross_rows(sequences: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The features of pairs from rows (seq_id, a, q): two joins bring two arrays together, the rest is in the row.
+    """The features of pairs from rows (seq_id, a, q): two joins bring two arrays together, the rest is per batch of rows.
 
     Pairs with a sequence that has no term after a_0 are left out; a pair requested twice has two rows.
     """
+    share_package(pairs.sparkSession)
     left = sequences.select(F.col("seq_id").alias("a"), F.col("a").alias("x"))
     right = sequences.select(F.col("seq_id").alias("b"), F.col("a").alias("y"))
     depth = F.least(F.size("x"), F.size("y"))
     rows = pairs.select("a", "b").join(left, "a").join(right, "b").where(depth > 0)
-    rows = rows.select("a", "b", depth.cast("double").alias("n"), F.slice("x", 1, depth).alias("x"), F.slice("y", 1, depth).alias("y"))
-    x, y, n = F.col("x"), F.col("y"), F.col("n")
-    met = lambda condition: _count(F.zip_with(x, y, condition), lambda hit: hit) / n
-    rows = rows.withColumn("_cells", F.zip_with(x, y, lambda u, v: u % 3 * 3 + v % 3))
-    joint = [[F.col(f"_c{i}{j}") for j in range(3)] for i in range(3)]
-    rows = rows.withColumns({f"_c{i}{j}": _equal(F.col("_cells"), 3 * i + j) / n for i in range(3) for j in range(3)})
+    rows = rows.select("a", "b", F.slice("x", 1, depth).alias("x"), F.slice("y", 1, depth).alias("y"))
+    ids = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in "ab")
+    rows = rows.mapInArrow(_compare, ids + "".join(f", {c} double" for c in COMPARED))
+    n = F.col("n")
+    joint = [[F.col(f"_c{i}{j}") / n for j in range(3)] for i in range(3)]
     information = F.lit(0.0)
     for i in range(3):
         for j in range(3):
             apart = sum(joint[i]) * sum(line[j] for line in joint)
             information = information + F.when(joint[i][j] > 0, joint[i][j] * F.log2(joint[i][j] / F.when(joint[i][j] > 0, apart))).otherwise(0.0)
+    flat = F.least("_xx", "_yy") <= 1e-20 * n
     features = {
-        "cross_corr": row_rank_corr(x, y), "shared_large": met(lambda u, v: (u > 10) & (v > 10)),
-        "gcd_coprime": met(lambda u, v: scalar.gcd(u, v) == 1), "mod_mutual_info": information,
+        "cross_corr": F.when(flat, 0.0).otherwise(F.col("_xy") / F.sqrt(F.when(~flat, F.col("_xx") * F.col("_yy")))),
+        "shared_large": F.col("_large") / n, "gcd_coprime": F.col("_coprime") / n, "mod_mutual_info": information,
     }
     return rows.select("a", "b", *[F.when(n >= 3, features[f]).alias(f) for f in PAIR_FEATURES])

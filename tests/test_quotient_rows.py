@@ -1,5 +1,6 @@
 """Profiles of quotient arrays: the long table and the row form agree; ranks of arrays against pandas."""
 
+import math
 import random
 
 import pandas as pd
@@ -32,3 +33,29 @@ def test_rank_correlation_of_arrays(spark):
         x, y = pd.Series(row.x, dtype=float).rank(), pd.Series(row.y, dtype=float).rank()
         want = x.corr(y) if len(x) > 1 and x.nunique() > 1 and y.nunique() > 1 else 0.0
         assert abs(row.rho - want) < 1e-9
+
+
+def test_pairs_equal_ranks_and_counts_row_by_row(spark):
+    rng = random.Random(4)
+    arrays = [(k, [rng.choice([1, 1, 2, 3, 11, 40, 10**12]) for _ in range(rng.randrange(0, 12))]) for k in range(60)]
+    sequences = spark.createDataFrame([(k, a, 1) for k, a in arrays], "seq_id long, a array<long>, q long")
+    pairs = spark.createDataFrame([(k, (k * 7 + 3) % 60) for k in range(60)] + [(1, 10)], "a long, b long")
+    frame = quotient.cf_cross_rows(sequences, pairs)
+    assert "MapInArrow" in frame._jdf.queryExecution().sparkPlan().toString()
+    of = dict(arrays)
+    got = frame.collect()
+    assert len(got) == sum(min(len(of[k]), len(of[(k * 7 + 3) % 60])) > 0 for k in [*range(60), 1])
+    for row in got:
+        n = min(len(of[row.a]), len(of[row.b]))
+        x, y = of[row.a][:n], of[row.b][:n]
+        if n < 3:
+            assert list(row)[2:] == [None] * 4
+            continue
+        rx, ry = pd.Series(x, dtype=float).rank(), pd.Series(y, dtype=float).rank()
+        assert abs(row.cross_corr - (rx.corr(ry) if len({*x}) > 1 and len({*y}) > 1 else 0.0)) < 1e-9
+        assert row.shared_large == sum(u > 10 and v > 10 for u, v in zip(x, y)) / n
+        assert row.gcd_coprime == sum(math.gcd(u, v) == 1 for u, v in zip(x, y)) / n
+        share = lambda values: pd.Series(values).value_counts() / n
+        cells, i, j = share([(u % 3, v % 3) for u, v in zip(x, y)]), share([u % 3 for u in x]), share([v % 3 for v in y])
+        want = sum(c * math.log2(c / (i[at[0]] * j[at[1]])) for at, c in cells.items())
+        assert abs(row.mod_mutual_info - want) < 1e-9
