@@ -176,8 +176,9 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, lists: int = LISTS, pr
         return lone.withColumn("kept", F.col("vec_id").isNotNull())
     fitted = {}
     for dim in lengths:  # a few; at most lists + PARTS x CODES centres each
-        of_length = classes.where(F.col("dim") == dim).select("embedding", "node")
-        picked = of_length.orderBy(F.xxhash64("node"), "node").limit(sample).select("embedding").toPandas()
+        of_length = classes.where(F.col("dim") == dim).select("embedding", "node", F.xxhash64("node").alias("_hash"))
+        # picked by tasks and written: collected at once, every partition would send its own first rows to the driver
+        picked = scratch.save(of_length.orderBy("_hash", "node").limit(sample)).toPandas().sort_values(["_hash", "node"])
         x = _scaled(np.array(picked.embedding.tolist(), float))
         fitted[dim] = Quantiser(x / np.sqrt((x**2).sum(axis=1))[:, None], lists)
     quantisers = spark.sparkContext.broadcast(fitted)
@@ -186,12 +187,13 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, lists: int = LISTS, pr
     columns = ["node", "weight", "embedding", "probes"]
     members = tiles(placed.withColumn("list", F.col("probes")[0]), "list", "node", TILE, [*columns, "code", "error"]).select("list", F.col("rows").alias("members"))
     asking = tiles(placed.withColumn("list", F.explode("probes")), "list", "node", TILE, columns).select("list", F.col("rows").alias("asking"))
-    found = scratch.save(asking.join(members, "list").mapInArrow(_search(quantisers, least), "u long, v long, n long"))
+    # tiles hold whole vectors, eight times over, and sizes guessed from files are far too low: no side is broadcast
+    found = scratch.save(asking.join(members.hint("merge"), "list").mapInArrow(_search(quantisers, least), "u long, v long, n long"))
     roots = components(found.where("v is not null").select("u", "v"), scratch)
     links = found.where("v is null").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("links"))
     named = (
-        classes.select("embedding", "node", "weight").join(roots, "node", "left").join(links, "node", "left")
+        classes.select("embedding", "node", "weight").join(roots.hint("merge"), "node", "left").join(links.hint("merge"), "node", "left")
         .select("embedding", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("component_id")))
-    linked = rows.where("sound").join(named, "embedding").select("vec_id", "n_links", "component_id")
+    linked = rows.where("sound").join(named.hint("merge"), "embedding").select("vec_id", "n_links", "component_id")
     lone = rows.where("not sound").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.union(lone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
